@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from keystrata.llm.exact_dedup import exact_groups
+from keystrata.llm.main_text import extract_main_text
 from keystrata.llm.text import read_table
 from keystrata.llm.token_files import token_files
+from keystrata.llm.toxicity import score_toxicity, train
 from keystrata.llm.warc import archive_pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +67,14 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(spark, read_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op1_main_text")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(read_table(spark, sf_dir, "pages"))
+
+
+@query("op9_toxicity")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return score_toxicity(docs, train(docs, read_table(spark, sf_dir, "labels")))
