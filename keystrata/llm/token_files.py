@@ -1,8 +1,8 @@
 """Token ids as files of independent zstandard frames with a trailing seek table.
 
 A shard holds one frame per document (the ids as little-endian 32-bit integers, with the frame's own
-checksum), then a skippable frame with one entry per document (compressed size, ids, crc32 of the ids) and a
-footer that says how many. A reader fetches the footer and table, then only the frames it wants.
+checksum), then a skippable frame with one entry per document (compressed size, ids, the document's id, crc32
+of the ids) and a footer that says how many. A reader fetches the footer and table, then only the frames it wants.
 Documents are dealt by ranges of their id and sorted within them, so shard by shard the ids ascend.
 
 Defined results: a null or empty text is the end id alone; null ids come first; rows that repeat an id are
@@ -13,17 +13,18 @@ no rows. Other columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import accumulate, chain, repeat
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keystrata.llm.files import open_random, replacing
@@ -33,7 +34,7 @@ from keystrata.sources.shared import fresh_folder
 #: Fixed values of the format: a skippable frame's number, the seek table's mark, entry and footer layouts.
 SKIPPABLE = 0x184D2A5E
 MARK = 0x8F92EAB1
-ENTRY = struct.Struct("<QQI")
+ENTRY = struct.Struct("<QQq?I")
 FOOTER = struct.Struct("<QI")
 HEAD = struct.Struct("<II")
 
@@ -53,15 +54,20 @@ def _room(x: np.ndarray, n: int) -> np.ndarray:
 class WordCache:
     """Ids of texts, from ids of their white-space separated pieces.
 
-    For a tokenizer whose pre-tokenization drops white space, no token spans an ASCII space, tab or line
-    break, so the ids of a text are those of its pieces in order. The library encodes each piece once; the
-    cache is dropped when it is full.
+    For a tokenizer whose pre-tokenization drops white space and keeps letters apart from marks, no token
+    spans an ASCII space, tab or line break, so the ids of a text are those of its pieces in order. The
+    library encodes each piece once. Two rewritings make pieces recur more often and leave the ids alone:
+    a single comma or full stop between a letter or digit and white space becomes a piece of its own, and a
+    text of Latin-1 characters only (no combining marks, one small letter for each capital) is lower-cased
+    where the tokenizer does so itself. The cache is dropped when it is full.
     """
 
-    PIECES = 500_000
+    PIECES = 700_000
+    MARK = re.compile(r"(?<=[^\W_])([.,])(?=[ \n\t])")
 
     def __init__(self, path: str) -> None:
         self.tokenizer = _tokenizer(path)
+        self.lowers = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("ABC") == "abc"
         self._clear()
 
     def _clear(self) -> None:
@@ -72,44 +78,59 @@ class WordCache:
 
     def _learn(self, pieces: list[str]) -> None:
         """Encodes new pieces and lays their ids end to end."""
-        for k in range(0, len(pieces), 20_000):
-            part = pieces[k : k + 20_000]
-            got = [x.ids for x in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, got), np.int64, len(got))
-            n, end = len(self.index), self.used + int(sizes.sum())
-            self.starts, self.sizes = (_room(x, n + len(got)) for x in (self.starts, self.sizes))
-            self.ids = _room(self.ids, end)
-            self.ids[self.used : end] = np.fromiter(chain.from_iterable(got), np.uint32, end - self.used)
-            self.starts[n : n + len(got)] = self.used + np.cumsum(sizes) - sizes
-            self.sizes[n : n + len(got)] = sizes
-            self.index.update(zip(part, range(n, n + len(got)), strict=True))
-            self.used = end
+        encode = self.tokenizer.encode
+        got = [encode(x, add_special_tokens=False).ids for x in pieces]
+        sizes = np.fromiter(map(len, got), np.int64, len(got))
+        n, end = len(self.index), self.used + int(sizes.sum())
+        self.starts, self.sizes = (_room(x, n + len(got)) for x in (self.starts, self.sizes))
+        self.ids = _room(self.ids, end)
+        self.ids[self.used : end] = np.fromiter(chain.from_iterable(got), np.uint32, end - self.used)
+        self.starts[n : n + len(got)] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[n : n + len(got)] = sizes
+        self.index.update(zip(pieces, range(n, n + len(got)), strict=True))
+        self.used = end
+
+    def _pieces(self, text: str) -> list[str]:
+        if self.lowers and "<|" not in text:
+            try:
+                text.encode("latin-1")
+                text = text.lower()
+            except UnicodeEncodeError:
+                pass
+        return self.MARK.sub(r" \1", text).replace("\n", " ").replace("\t", " ").split(" ")
 
     def encode(self, text: str) -> np.ndarray:
-        pieces = text.replace("\n", " ").replace("\t", " ").split(" ")
-        new = [x for x in dict.fromkeys(pieces) if x not in self.index]
-        if new:
+        pieces = self._pieces(text)
+        at = np.fromiter(map(self.index.get, pieces, repeat(-1)), np.int64, len(pieces))
+        missing = np.flatnonzero(at < 0).tolist()
+        if missing:
+            new = list(dict.fromkeys(pieces[k] for k in missing))
             if len(self.index) + len(new) > self.PIECES:
                 self._clear()
-                new = list(dict.fromkeys(pieces))
+                new, missing = list(dict.fromkeys(pieces)), range(len(pieces))
             self._learn(new)
-        at = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
+            at[missing] = [self.index[pieces[k]] for k in missing]
         sizes = self.sizes[at]
-        total = int(sizes.sum())
         before = np.cumsum(sizes) - sizes
-        return self.ids[np.repeat(self.starts[at] - before, sizes) + np.arange(total)]
+        return self.ids[np.repeat(self.starts[at] - before, sizes) + np.arange(int(sizes.sum()))]
+
+
+@lru_cache(maxsize=2)
+def word_cache(path: str) -> WordCache:
+    """One for all tasks of a Python worker."""
+    return WordCache(path)
 
 
 class ShardWriter:
-    def __init__(self, stream, level: int = 3) -> None:
+    def __init__(self, stream, level: int = 1) -> None:
         self.stream, self.table, self.ids = stream, [], 0
         self.packer = zstandard.ZstdCompressor(level=level, write_checksum=True, write_content_size=True)
 
-    def add(self, ids: np.ndarray) -> None:
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         raw = ids.astype("<u4", copy=False).tobytes()
         frame = self.packer.compress(raw)
         self.stream.write(frame)
-        self.table.append(ENTRY.pack(len(frame), len(ids), zlib.crc32(raw)))
+        self.table.append(ENTRY.pack(len(frame), len(ids), doc_id or 0, doc_id is not None, zlib.crc32(raw)))
         self.ids += len(ids)
 
     def close(self) -> None:
@@ -128,13 +149,16 @@ class ShardReader:
         if mark != MARK:
             raise ValueError(f"{address} has no seek table")
         self.file.seek(size - FOOTER.size - n * ENTRY.size)
-        self.table = np.frombuffer(self.file.read(n * ENTRY.size), np.dtype([("packed", "<u8"), ("ids", "<u8"), ("crc", "<u4")]))
+        self.table = np.frombuffer(self.file.read(n * ENTRY.size), np.dtype([("packed", "<u8"), ("ids", "<u8"), ("doc_id", "<i8"), ("known", "?"), ("crc", "<u4")]))
         self.offsets = np.concatenate([[0], np.cumsum(self.table["packed"], dtype=np.int64)])
         self.unpacker = zstandard.ZstdDecompressor()
 
     def __len__(self) -> int:
         return len(self.table)
 
+    def doc_id(self, k: int) -> int | None:
+        return int(self.table["doc_id"][k]) if self.table["known"][k] else None
+
     def __getitem__(self, k: int) -> np.ndarray:
         self.file.seek(int(self.offsets[k]))
         raw = self.unpacker.decompress(self.file.read(int(self.table["packed"][k])))
@@ -143,61 +167,49 @@ class ShardReader:
         return np.frombuffer(raw, "<u4")
 
 
-_WRITTEN = "shard long, position long, doc_id long, n_tokens long"
-_SHARDS = pa.schema([("shard", pa.int64()), ("position", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64())])
+_WRITTEN = "shard long, n_docs long, n_tokens long"
+_READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
+_SCHEMA = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "n_tokens", "ids_crc32")])
+
+
+def _shard(folder: str, n: int) -> str:
+    return f"{folder}/shard-{n:06d}.zst"
 
 
 def _write(folder: str, vocabulary: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
-        cache, done, any_rows = WordCache(vocabulary), 0, False
-        with replacing(f"{folder}/shard-{shard:06d}.zst") as stream:
+        cache, end = word_cache(vocabulary), np.array([end_id], np.uint32)
+        with replacing(_shard(folder, shard)) as stream:
             writer = ShardWriter(stream)
             for batch in slices(batches, "text"):
-                ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                sizes = []
-                for text in texts:
-                    tokens = np.append(cache.encode(text), np.uint32(end_id)).astype(np.uint32)
-                    writer.add(tokens)
-                    sizes.append(len(tokens))
-                yield pa.RecordBatch.from_arrays([pa.array([shard] * len(ids), pa.int64()), pa.array(range(done, done + len(ids)), pa.int64()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64())], schema=_SHARDS)
-                done += len(ids)
+                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    writer.add(doc_id, np.concatenate([cache.encode(text), end]))
             writer.close()
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (shard, len(writer.table), writer.ids)], names=["shard", "n_docs", "n_tokens"])
 
     return run
 
 
 def write_token_files(spark: SparkSession, docs: DataFrame, folder: str, vocabulary: str, end_id: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Writes the shards and a manifest (shard, position, doc_id, n_tokens); returns the manifest."""
+    """Writes the shards and a manifest with one row per shard (shard, n_docs, n_tokens); returns the manifest."""
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_or_empty(text_column).alias("text"))
     dealt = rows.repartitionByRange(spread(rows, spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     dealt.mapInArrow(_write(folder, vocabulary, end_id), _WRITTEN).write.parquet(f"{folder}/manifest")
     return spark.read.parquet(f"{folder}/manifest")
 
 
-def shard_starts(manifest: DataFrame) -> DataFrame:
-    """Per shard: its first id's number among all ids, and how many documents it has. One row per task, not per document."""
-    sums = manifest.groupBy("shard").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return sums.select("shard", before.alias("before"))
-
-
-_READ = "shard long, position long, n_tokens long, ids_crc32 long, within long"
-
-
 def _read(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    schema = pa.schema([(n, pa.int64()) for n in ("shard", "position", "n_tokens", "ids_crc32", "within")])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard in batch.column(0).to_pylist():
-                reader, within, held = ShardReader(f"{folder}/shard-{shard:06d}.zst"), 0, []
+            for shard, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                reader, held = ShardReader(_shard(folder, shard)), []
                 for k in range(len(reader)):
                     ids = reader[k]
-                    held.append((shard, k, len(ids), zlib.crc32(ids.tobytes()), within))
-                    within += len(ids)
+                    held.append((reader.doc_id(k), at, len(ids), zlib.crc32(ids.tobytes())))
+                    at += len(ids)
                     if len(held) == 8192 or k + 1 == len(reader):
-                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*held, strict=True)], schema=schema)
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*held, strict=True)], schema=_SCHEMA)
                         held = []
 
     return run
@@ -205,12 +217,10 @@ def _read(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
 
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """Every document of the shards, from its own frame: doc_id, start, n_tokens, ids_crc32."""
-    manifest = spark.read.parquet(f"{folder}/manifest")
-    starts = shard_starts(manifest)
-    shards = manifest.select("shard").distinct()
-    read = shards.repartition(spread(shards, spark), "shard").mapInArrow(_read(folder), _READ)
-    found = read.join(manifest.select("shard", "position", "doc_id"), ["shard", "position"]).join(F.broadcast(starts), "shard")
-    return found.select("doc_id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
+    shards = sorted(spark.read.parquet(f"{folder}/manifest").select("shard", "n_tokens").collect())  # a row per shard
+    starts = [0, *accumulate(r.n_tokens for r in shards)]
+    tasks = spark.createDataFrame([(r.shard, at) for r, at in zip(shards, starts, strict=False)], "shard long, start long")
+    return tasks.repartition(max(1, len(shards))).mapInArrow(_read(folder), _READ)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, vocabulary: str, end_id: int = 2, folder: str | None = None) -> DataFrame:
