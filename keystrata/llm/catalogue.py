@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from keystrata.llm.decontaminate import contaminations
 from keystrata.llm.exact_dedup import exact_groups
+from keystrata.llm.jaccard_join import jaccard_links
 from keystrata.llm.main_text import extract_main_text
+from keystrata.llm.mixing import mix_sources
 from keystrata.llm.text import read_table
 from keystrata.llm.token_files import token_files
 from keystrata.llm.toxicity import score_toxicity, train
@@ -78,3 +81,76 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return score_toxicity(docs, train(docs, read_table(spark, sf_dir, "labels")))
+
+
+@query(
+    "op8_jaccard_join",
+    r"""
+    WITH RECURSIVE w AS (
+        SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+    ), g AS (
+        SELECT doc_id, unnest(CASE WHEN len(words) = 0 THEN [''] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+               ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS gram FROM w
+    ), s AS (
+        SELECT DISTINCT doc_id, gram FROM g
+    ), n AS (
+        SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+    ), pairs AS (
+        SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b USING (gram) JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+        WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING count(*) >= 0.8 * (x.n + y.n - count(*))
+    ), reach AS (
+        SELECT doc_id AS node, doc_id AS seen FROM documents UNION SELECT r.node, p.b FROM reach r JOIN pairs p ON p.a = r.seen
+    )
+    SELECT node AS doc_id, min(seen) AS class_id, (SELECT count(*) FROM pairs p WHERE p.a = node) AS n_links FROM reach GROUP BY node
+    """,
+)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_links(spark, read_table(spark, sf_dir, "documents"))
+
+
+@query("op4_decontaminate")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminations(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@query(
+    "op5_mixing",
+    r"""
+    WITH d AS (
+        SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+               md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':mix') AS key FROM documents
+    ), s AS (
+        SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS number FROM d GROUP BY source
+    ), w AS (
+        SELECT *, number % 3 + 1 AS weight, CAST(sum(source_size) OVER () AS BIGINT) AS total, 3.0::DOUBLE * source_size / (number % 3 + 1) AS ratio FROM s
+    ), l AS (
+        SELECT *, (total - coalesce(sum(3 * source_size) OVER (ORDER BY ratio, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+               / (sum(weight) OVER (ORDER BY ratio, number ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level FROM w
+    ), t AS (
+        SELECT *, least(3.0::DOUBLE * source_size, (SELECT max(level) FROM l WHERE level <= ratio) * weight) AS target,
+               CAST(greatest(1, ceil(total / 262144.0::DOUBLE)) AS BIGINT) AS length FROM l
+    ), p AS (
+        SELECT *, CAST(sum(CAST(floor(target / total * 4294967296.0::DOUBLE) AS BIGINT)) OVER (ORDER BY number) AS BIGINT) AS until,
+               CAST(floor(target / total * 4294967296.0::DOUBLE) AS BIGINT) AS points FROM t
+    ), slots AS (
+        SELECT i AS slot, (i * 2654435769) % 4294967296 AS point FROM range(0, 262144) r(i)
+    ), ranked AS (
+        SELECT number, row_number() OVER (PARTITION BY number ORDER BY slot) - 1 AS rank, CAST(ceil(source_size / length::DOUBLE) AS BIGINT) AS blocks
+        FROM slots JOIN p ON point >= until - points AND point < until WHERE slot * length < total
+    ), uses AS (
+        SELECT number, rank % blocks AS block, count(*) AS uses FROM ranked WHERE rank < 3 * blocks GROUP BY ALL
+    ), rows AS (
+        SELECT doc_id, size, source_size, target, number, length,
+               CAST(sum(size) OVER (PARTITION BY number ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - size AS start
+        FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
+    ), touched AS (
+        SELECT *, unnest(range(start // length, (start + size - 1) // length + 1)) AS block FROM rows WHERE size > 0
+    ), taken AS (
+        SELECT doc_id, number, start, CAST(sum((least(start + size, (block + 1) * length) - greatest(start, block * length)) * uses) AS BIGINT) AS taken
+        FROM touched JOIN uses USING (number, block) GROUP BY doc_id, number, start
+    )
+    SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM rows LEFT JOIN taken USING (doc_id, number, start)
+    """,
+)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(spark, read_table(spark, sf_dir, "documents")).drop("source")
