@@ -5,13 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+import corpus_pipeline
 from keystrata.llm.decontaminate import contaminations
 from keystrata.llm.exact_dedup import exact_groups
 from keystrata.llm.jaccard_join import jaccard_links
+from keystrata.llm.licences import TEMPLATES, THRESHOLD, scan_licences
+from keystrata.llm.line_dedup import dedup_lines
 from keystrata.llm.main_text import extract_main_text
 from keystrata.llm.mixing import mix_sources
-from keystrata.llm.text import read_table
+from keystrata.llm.text import read_table, vocabulary
 from keystrata.llm.token_files import token_files
 from keystrata.llm.toxicity import score_toxicity, train
 from keystrata.llm.warc import archive_pages
@@ -30,13 +34,6 @@ def query(name: str, sql: str | None = None) -> Callable:
     return keep
 
 
-def vocabulary() -> str:
-    """The public tokenizer's file; its package is installed beside Spark on every machine."""
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
-
-
 @query(
     "op3_exact_dedup",
     """
@@ -154,3 +151,90 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(spark, read_table(spark, sf_dir, "documents")).drop("source")
+
+
+@query(
+    "op6_line_dedup",
+    r"""
+    WITH d AS (
+        SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+    ), l AS (
+        SELECT doc_id, unnest(range(len(lines))) AS line_no, unnest(lines) AS raw FROM d
+    ), t AS (
+        SELECT doc_id, line_no, regexp_extract_all(raw, '[^\x20\x09-\x0D]+') AS words FROM l
+    ), o AS (
+        SELECT words, min((doc_id, line_no)) AS place, count(*) AS n FROM t WHERE len(words) > 0 GROUP BY words
+    ), v AS (
+        SELECT words, place, len(words) AS n, unnest(range(len(words))) AS p FROM o WHERE len(words) >= 4
+    ), k AS (
+        SELECT words, place, n, p, words[1:p] || words[p + 2:] AS rest FROM v
+    ), near AS (
+        SELECT a.words FROM k a JOIN k b ON a.rest = b.rest AND a.p = b.p WHERE b.place < a.place AND a.n >= 5
+        UNION SELECT a.words FROM k a JOIN o b ON a.rest = b.words WHERE b.place < a.place AND a.n >= 5
+        UNION SELECT b.words FROM k a JOIN o b ON a.rest = b.words WHERE a.place < b.place AND a.n >= 5
+    ), gone AS (
+        SELECT t.doc_id, t.line_no FROM t JOIN o USING (words) WHERE (t.doc_id, t.line_no) > o.place OR t.words IN (SELECT words FROM near)
+    )
+    SELECT l.doc_id, count(*) AS n_lines, count(*) FILTER (WHERE g.line_no IS NULL) AS n_kept,
+           coalesce(string_agg(l.raw, chr(10) ORDER BY l.line_no) FILTER (WHERE g.line_no IS NULL), '') AS text
+    FROM l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.line_no = g.line_no GROUP BY l.doc_id
+    """,
+)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(spark, read_table(spark, sf_dir, "documents"))
+
+
+def _licence_sql() -> str:
+    values = ", ".join(f"('{name}', {k}, '{text}')" for name, texts in TEMPLATES.items() for k, text in enumerate(texts))
+    split = "list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda t: t <> '')"
+    return f"""
+    WITH tpl(licence, template, body) AS (VALUES {values}
+    ), tt AS (
+        SELECT licence, template, unnest({split.format("body")}) AS term FROM tpl
+    ), tc AS (
+        SELECT licence, template, term, count(*) AS c FROM tt GROUP BY ALL
+    ), d AS (
+        SELECT doc_id, coalesce(source, '_') || '/' || coalesce(lang, '_') || '/' || coalesce(CAST(doc_id AS VARCHAR), '_') AS path, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+    ), l AS (
+        SELECT doc_id, path, unnest(range(len(lines))) AS line_no, unnest(lines) AS line FROM d
+    ), w AS (
+        SELECT path, line_no, unnest({split.format("line")}) AS term FROM l
+    ), k AS (
+        SELECT path, line_no, term, count(*) AS c FROM w WHERE term IN (SELECT term FROM tt) GROUP BY ALL
+    ), idf AS (
+        SELECT term, ln(((SELECT count(*) FROM l) + 1) / (count(k.path) + 1)::DOUBLE) AS idf FROM (SELECT DISTINCT term FROM tt) LEFT JOIN k USING (term) GROUP BY term
+    ), tw AS (
+        SELECT licence, template, term, (1 + ln(c)) * idf AS weight FROM tc JOIN idf USING (term)
+    ), tn AS (
+        SELECT licence, template, sqrt(sum(weight * weight)) AS norm FROM tw GROUP BY ALL
+    ), kw AS (
+        SELECT path, line_no, term, (1 + ln(c)) * idf AS weight FROM k JOIN idf USING (term)
+    ), kn AS (
+        SELECT path, line_no, sqrt(sum(weight * weight)) AS norm FROM kw GROUP BY ALL
+    ), s AS (
+        SELECT kw.path, kw.line_no, tw.licence, round(sum(kw.weight * tw.weight / tn.norm) / any_value(kn.norm), 6) AS score
+        FROM kw JOIN tw USING (term) JOIN tn ON tw.licence = tn.licence AND tw.template = tn.template JOIN kn ON kw.path = kn.path AND kw.line_no = kn.line_no
+        WHERE tn.norm > 0 AND kn.norm > 0 GROUP BY kw.path, kw.line_no, tw.licence, tw.template
+    ), own AS (
+        SELECT path, score, line_no, licence AS own_licence FROM s WHERE score >= {THRESHOLD}
+        QUALIFY row_number() OVER (PARTITION BY path ORDER BY score DESC, line_no, licence) = 1
+    ), votes AS (
+        SELECT regexp_replace(path, '/[^/]*$', '') AS dir, own_licence, count(*) AS n FROM own GROUP BY ALL
+    ), dirs AS (
+        SELECT dir, own_licence AS dir_licence FROM votes QUALIFY row_number() OVER (PARTITION BY dir ORDER BY n DESC, own_licence) = 1
+    )
+    SELECT doc_id, own_licence, score, line_no, coalesce(own_licence, dir_licence) AS licence, CASE WHEN own_licence IS NULL THEN dir END AS inherited_from
+    FROM d LEFT JOIN own USING (path) LEFT JOIN dirs ON dir = regexp_replace(d.path, '/[^/]*$', '')
+    """
+
+
+@query("op2_licences", _licence_sql())
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree source/lang/doc_id; directories are spoken for by their files' notices."""
+    files = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat_ws("/", *(F.coalesce(F.col(c).cast("string"), F.lit("_")) for c in ("source", "lang", "doc_id"))).alias("path"), "text")
+    return scan_licences(spark, files, by_header=True).withColumnRenamed("id", "doc_id").drop("path")
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
