@@ -62,12 +62,15 @@ class WordCache:
     where the tokenizer does so itself. The cache is dropped when it is full.
     """
 
-    PIECES = 700_000
-    MARK = re.compile(r"(?<=[^\W_])([.,])(?=[ \n\t])")
+    PIECES = 1_000_000
+    STOP = re.compile(r"(?<=[^\W_])([.,])(?=[ \n\t])")
+    MARK = "\x01"
 
     def __init__(self, path: str) -> None:
         self.tokenizer = _tokenizer(path)
         self.lowers = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("ABC") == "abc"
+        mark = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
         self._clear()
 
     def _clear(self) -> None:
@@ -76,18 +79,27 @@ class WordCache:
         self.starts, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.used = 0
 
+    def _encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces end to end, and how many each has. Twenty go to the library at once, parted by a mark of one known id."""
+        plain = self.mark is not None and not any(self.MARK in x for x in pieces)
+        if not plain:
+            got = [x.ids for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+            return np.fromiter(chain.from_iterable(got), np.uint32), np.fromiter(map(len, got), np.int64, len(got))
+        joined = [f" {self.MARK} ".join((*pieces[k : k + 20], "")) for k in range(0, len(pieces), 20)]
+        ids = np.concatenate([np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
+        marks = np.flatnonzero(ids == self.mark)
+        return np.delete(ids, marks), np.diff(marks, prepend=-1) - 1
+
     def _learn(self, pieces: list[str]) -> None:
         """Encodes new pieces and lays their ids end to end."""
-        encode = self.tokenizer.encode
-        got = [encode(x, add_special_tokens=False).ids for x in pieces]
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        n, end = len(self.index), self.used + int(sizes.sum())
-        self.starts, self.sizes = (_room(x, n + len(got)) for x in (self.starts, self.sizes))
+        ids, sizes = self._encoded(pieces)
+        n, end = len(self.index), self.used + len(ids)
+        self.starts, self.sizes = (_room(x, n + len(pieces)) for x in (self.starts, self.sizes))
         self.ids = _room(self.ids, end)
-        self.ids[self.used : end] = np.fromiter(chain.from_iterable(got), np.uint32, end - self.used)
-        self.starts[n : n + len(got)] = self.used + np.cumsum(sizes) - sizes
-        self.sizes[n : n + len(got)] = sizes
-        self.index.update(zip(pieces, range(n, n + len(got)), strict=True))
+        self.ids[self.used : end] = ids
+        self.starts[n : n + len(pieces)] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[n : n + len(pieces)] = sizes
+        self.index.update(zip(pieces, range(n, n + len(pieces)), strict=True))
         self.used = end
 
     def _pieces(self, text: str) -> list[str]:
@@ -97,10 +109,15 @@ class WordCache:
                 text = text.lower()
             except UnicodeEncodeError:
                 pass
-        return self.MARK.sub(r" \1", text).replace("\n", " ").replace("\t", " ").split(" ")
+        return self.STOP.sub(r" \1", text).replace("\n", " ").replace("\t", " ").split(" ")
 
     def encode(self, text: str) -> np.ndarray:
-        pieces = self._pieces(text)
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text. New pieces of all of them are learned together."""
+        parts = [self._pieces(t) for t in texts]
+        pieces = list(chain.from_iterable(parts))
         at = np.fromiter(map(self.index.get, pieces, repeat(-1)), np.int64, len(pieces))
         missing = np.flatnonzero(at < 0).tolist()
         if missing:
@@ -111,8 +128,10 @@ class WordCache:
             self._learn(new)
             at[missing] = [self.index[pieces[k]] for k in missing]
         sizes = self.sizes[at]
-        before = np.cumsum(sizes) - sizes
-        return self.ids[np.repeat(self.starts[at] - before, sizes) + np.arange(int(sizes.sum()))]
+        ends = np.cumsum(sizes)
+        ids = self.ids[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))]
+        cuts = np.cumsum([len(x) for x in parts])[:-1]
+        return np.split(ids, np.concatenate([[0], ends])[cuts])
 
 
 @lru_cache(maxsize=2)
@@ -182,9 +201,9 @@ def _write(folder: str, vocabulary: str, end_id: int) -> Callable[[Iterator[pa.R
         cache, end = word_cache(vocabulary), np.array([end_id], np.uint32)
         with replacing(_shard(folder, shard)) as stream:
             writer = ShardWriter(stream)
-            for batch in slices(batches, "text"):
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    writer.add(doc_id, np.concatenate([cache.encode(text), end]))
+            for batch in slices(batches, "text", most_bytes=1 << 20):
+                for doc_id, ids in zip(batch.column(0).to_pylist(), cache.encode_all(batch.column(1).to_pylist()), strict=True):
+                    writer.add(doc_id, np.concatenate([ids, end]))
             writer.close()
         yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (shard, len(writer.table), writer.ids)], names=["shard", "n_docs", "n_tokens"])
 
