@@ -130,6 +130,11 @@ def _composition() -> None:
     _filter("const_true", "part", PART_COLUMNS, True, "true")
     _filter("const_false", "part", PART_COLUMNS, False, "false")
     _filter("reversed_operands", "orders", ORDER_COLUMNS, 500 < f("o_custkey"), "500 < o_custkey")
+    _filter("between", "orders", ORDER_COLUMNS, f("o_custkey").between(300, 600), "o_custkey >= 300 AND o_custkey < 600")
+    _filter("none_of", "part", PART_COLUMNS, f("p_size").none_of([1, 2, 3]), "p_size NOT IN (1, 2, 3)")
+    _filter("in_any_range", "part", PART_COLUMNS, f("p_size").in_any_range([(1, 4), (20, 30)], include_high=True), "p_size BETWEEN 1 AND 4 OR p_size BETWEEN 20 AND 30")
+    _filter("starts_with_any_of", "part", "p_partkey p_type", f("p_type").starts_with_any_of(["eco", "std"], ignore_case=True), "starts_with(lower(p_type), 'eco') OR starts_with(lower(p_type), 'std')")
+    _filter("in_list_ci", "customer", "c_custkey c_mktsegment", f("c_mktsegment").is_in_ignoring_case(["building", "Machinery"]), "lower(c_mktsegment) IN ('building', 'machinery')")
     cols = ORDER_COLUMNS.split()
     _add("chained_where", lambda s, d: table(s, d, "orders").where(f("o_custkey") > 200).where(f("o_orderstatus") == "F").to_df().select(*cols), f"SELECT {', '.join(cols)} FROM orders WHERE o_custkey > 200 AND o_orderstatus = 'F'")
     _add("cursor_filter", lambda s, d: table(s, d, "orders").cursor(f("o_custkey") > 200).cursor(f("o_totalprice") < 90000).to_df().select(*cols), f"SELECT {', '.join(cols)} FROM orders WHERE o_custkey > 200 AND o_totalprice < 90000")
@@ -165,6 +170,11 @@ def _windows() -> None:
     add("last_where", lambda q: q.last_df(f("o_totalprice") > 100000), f"SELECT {listed} FROM orders WHERE o_totalprice > 100000 ORDER BY o_orderkey DESC LIMIT 1")
     add("last_in_window", lambda q: q.cursor(f("o_custkey") > 100).order_by("o_totalprice").take(30).skip(10).last_df(), f"SELECT {listed} FROM (SELECT * FROM orders WHERE o_custkey > 100 ORDER BY {up} LIMIT 30 OFFSET 10) ORDER BY {down} LIMIT 1")
     add("where_async", lambda q: q.order_by("o_totalprice").take(200).filter_after(F.col("o_orderstatus") == "O"), f"SELECT {listed} FROM (SELECT * FROM orders ORDER BY {up} LIMIT 200) WHERE o_orderstatus = 'O'")
+    add("until", lambda q: q.where(f("o_totalprice") > 1000).order_by_descending("o_totalprice").until(f("o_orderstatus") == "P"), f"WITH s AS (SELECT *, row_number() OVER (ORDER BY {down}) AS n FROM orders WHERE o_totalprice > 1000) SELECT {listed} FROM s WHERE n < coalesce((SELECT min(n) FROM s WHERE o_orderstatus = 'P'), 1000000000)")
+    add("bulk_get", lambda q: q.get_many([(3,), (77,), (77,), (-5,)]), f"SELECT {listed} FROM orders WHERE o_orderkey IN (3, 77)")
+    add("primary_keys", lambda q: q.where(f("o_custkey") < 50).primary_keys(), "SELECT o_orderkey FROM orders WHERE o_custkey < 50", columns=["o_orderkey"])
+    add("index_keys", lambda q: q.where(f("o_custkey") < 50).keys("o_custkey"), "SELECT o_custkey FROM orders WHERE o_custkey < 50", columns=["o_custkey"])
+    add("unique_keys", lambda q: q.keys("o_custkey", unique=True), "SELECT DISTINCT o_custkey FROM orders WHERE o_custkey IS NOT NULL", columns=["o_custkey"])
     add("get_by_key", lambda q: q.by_key(77).to_df(), f"SELECT {listed} FROM orders WHERE o_orderkey = 77")
     add("additions_list", lambda q: q.additions([{"additionFunction": "orderBy", "intValue": 0, "property": "o_custkey"}, {"additionFunction": "take", "intValue": 30}, {"additionFunction": "skip", "intValue": 7}]).to_df(), f"SELECT {listed} FROM orders ORDER BY o_custkey, o_orderkey LIMIT 30 OFFSET 7")
     part, parts = PART_COLUMNS.split(), PART_COLUMNS.replace(" ", ", ")
@@ -217,11 +227,18 @@ def _mutations() -> None:
         t.clear()
         return t.df()
 
+    def modify(s: SparkSession, d: str) -> DataFrame:
+        t, _ = stored(s, d)
+        t.modify(field("c_nationkey") == 7, {"c_acctbal": F.col("c_acctbal") + 1, "c_name": "seven"})
+        t.delete_where(field("c_nationkey") == 8)
+        return t.df()
+
     head = "c_custkey, c_name, c_nationkey"
     _add("add_range", add_range, f"SELECT {head}, c_acctbal FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 4 = 1")
     _add("update_one", update, "SELECT c_custkey, CASE WHEN c_custkey = 10 THEN 'renamed' ELSE c_name END AS c_name, CASE WHEN c_custkey = 10 THEN 3 ELSE c_nationkey END AS c_nationkey, CASE WHEN c_custkey = 10 THEN 1.5::DOUBLE ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_custkey % 2 = 0")
     _add("upsert_range", upsert, f"SELECT {head}, CASE WHEN c_custkey % 3 = 0 THEN 0.0::DOUBLE ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0")
     _add("delete_range", delete, f"SELECT {head}, c_acctbal FROM customer WHERE c_custkey % 2 = 0 AND NOT (c_custkey % 6 < 3)")
+    _add("modify_where", modify, "SELECT c_custkey, CASE WHEN c_nationkey = 7 THEN 'seven' ELSE c_name END AS c_name, c_nationkey, CASE WHEN c_nationkey = 7 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_custkey % 2 = 0 AND c_nationkey <> 8")
     _add("clear_table", clear, f"SELECT {head}, c_acctbal FROM customer WHERE false")
 
 

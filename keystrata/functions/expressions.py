@@ -158,6 +158,21 @@ class Field(_Comparable):
     def is_in(self, values: Iterable[Any]) -> Predicate:
         return self._leaf("In", list(values))
 
+    def is_in_ignoring_case(self, values: Iterable[str]) -> Predicate:
+        return any_of(values, lambda v: self.equals(v, ignore_case=True))
+
+    def none_of(self, values: Iterable[Any]) -> Predicate:
+        return all_of(values, lambda v: self != v)
+
+    def starts_with_any_of(self, values: Iterable[str], ignore_case: bool = False) -> Predicate:
+        return any_of(values, lambda v: self.starts_with(v, ignore_case))
+
+    def between(self, low: Any, high: Any, include_low: bool = True, include_high: bool = False) -> Predicate:
+        return (self >= low if include_low else self > low) & (self <= high if include_high else self < high)
+
+    def in_any_range(self, ranges: Iterable[tuple[Any, Any]], include_low: bool = True, include_high: bool = False) -> Predicate:
+        return any_of(ranges, lambda r: self.between(*r, include_low, include_high))
+
     def has(self, value: Any) -> Predicate:
         return self._leaf("ArrayContains", value)
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from keystrata.functions.expressions import AND, Field, Node, as_node, logical
-from keystrata.plans.additions import Shape, apply_shape
+from keystrata.plans.additions import Shape, apply_shape, rows_before
 from keystrata.plans.filters import columns_in_order, compile_filter
 from keystrata.schema import TableDef
 from keystrata.streaming.rows import iterate
@@ -122,6 +122,26 @@ class Query:
         df = self.to_df()
         return df.filter(test(df) if callable(test) else test)
 
+    def until(self, predicate: Any) -> DataFrame:
+        """The rows of the result, in its order, before the first that meets the predicate."""
+        mentioned = columns_in_order(self.node, self.table) if self.node else []
+        return rows_before(self.to_df(), self.table, self.shape, mentioned, compile_filter(as_node(predicate), self.table), self.tie_break)
+
+    def primary_keys(self) -> DataFrame:
+        return self.to_df().select(*(F.col(f"`{c}`") for c in self.table.primary_key))
+
+    def keys(self, column: str | Field, unique: bool = False) -> DataFrame:
+        """The values of one column that aren't null, each row's or each once."""
+        name = self.table.column(_name(column))
+        values = self.to_df().select(F.col(f"`{name}`")).dropna()
+        return values.distinct() if unique else values
+
+    def get_many(self, keys: Iterable[tuple]) -> DataFrame:
+        """The rows with these keys."""
+        df = self.source()
+        wanted = df.sparkSession.createDataFrame([tuple(k) for k in keys], ", ".join(f"`{c}` {self.table.schema[c].dataType.simpleString()}" for c in self.table.primary_key)).distinct()
+        return df.join(wanted, list(self.table.primary_key), "left_semi")
+
     def count_df(self) -> DataFrame:
         """The size of the whole table, as one row."""
         return self.source().agg(F.count(F.lit(1)).alias("count"))

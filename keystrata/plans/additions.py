@@ -105,3 +105,21 @@ def apply_shape(df: DataFrame, table: TableDef, shape: Shape, mentioned: list[st
     if shape.single:
         df = df.orderBy(*(forward if shape.single == "first" else backward)).limit(1)
     return df
+
+
+def not_before(keys: list[tuple[str, bool]], other: list[Column]) -> Column:
+    """The row is at or after the other place in the order, nulls smallest."""
+    after, same = F.lit(False), F.lit(True)
+    for (name, down), there in zip(keys, other, strict=True):
+        here = F.col(f"`{name}`")
+        small, large = (here, there) if down else (there, here)
+        above = F.coalesce(large > small, large.isNotNull() & small.isNull())
+        after, same = after | (same & above), same & here.eqNullSafe(there)
+    return after | same
+
+
+def rows_before(df: DataFrame, table: TableDef, shape: Shape, mentioned: list[str], stop: Column, tie_break: str = "same") -> DataFrame:
+    """In the effective order, the rows before the first that meets ``stop``. Only that row's keys are joined back."""
+    keys = sort_keys(table, shape, mentioned, tie_break)
+    first = df.filter(stop).orderBy(*_columns(keys)).limit(1).select(*(F.col(f"`{c}`").alias(f"__stop_{i}") for i, (c, _) in enumerate(keys)))
+    return df.join(F.broadcast(first), not_before(keys, [F.col(f"__stop_{i}") for i in range(len(keys))]), "left_anti").orderBy(*_columns(keys))

@@ -13,11 +13,13 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from keystrata.functions.expressions import as_node
 from keystrata.operators.query import Query
+from keystrata.plans.filters import compile_filter
 from keystrata.schema import DatabaseRef, Registry, TableDef
 from keystrata.sources.files import Files
 
@@ -167,6 +169,29 @@ class Table:
         self._publish([self._write(self._without(gone))])
         return n
 
+    def modify(self, predicate: Any, changes: dict[str, Any]) -> int:
+        """Sets attributes (values or Columns, not of the key) of all rows that meet the predicate; returns how many."""
+        t = self.definition
+        named = {t.column(k): v if isinstance(v, Column) else F.lit(v) for k, v in changes.items()}
+        if set(named) & set(t.primary_key) or not all(map(t.has, changes)):
+            raise ValueError("only stored columns outside the key can be modified")
+        test = F.coalesce(compile_filter(as_node(predicate), t), F.lit(False))
+        df = self.df()
+        n = df.filter(test).count()
+        if n:
+            columns = [F.when(test, named[c.name].cast(c.dataType)).otherwise(F.col(f"`{c.name}`")).alias(c.name) if c.name in named else F.col(f"`{c.name}`") for c in t.schema]
+            self._publish([self._write(df.select(*columns))])
+        return n
+
+    def delete_where(self, predicate: Any) -> int:
+        """Deletes all rows that meet the predicate; returns how many."""
+        test = F.coalesce(compile_filter(as_node(predicate), self.definition), F.lit(False))
+        df = self.df()
+        n = df.filter(test).count()
+        if n:
+            self._publish([self._write(df.filter(~test))])
+        return n
+
     def clear(self) -> None:
         self._publish([])
 

@@ -118,3 +118,21 @@ def test_take_plans_as_top_k(people):
     assert "TakeOrderedAndProject" in plan and "rangepartitioning" not in plan
     skipped = people.order_by("Age").skip(2).to_df()._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in skipped
+
+
+@pytest.mark.parametrize(("order", "down"), [("Name", False), ("Name", True), ("Born", False), ("Age", True), (None, False)])
+def test_until(people, order, down):
+    q = Query(people.table, people.source)
+    q = q if order is None else q.order_by_descending(order) if down else q.order_by(order)
+    for stop, test in ((f("TestInt") == 20, lambda r: r["TestInt"] == 20), (f("Name") == None, lambda r: r["Name"] is None), (f("Age") > 99, lambda r: False)):  # noqa: E711
+        ordered = model(DATA, lambda r: True, order=order, down=down)
+        want = list(itertools.takewhile(lambda k: not test(DATA[k - 1]), ordered))
+        assert [r["_id"] for r in q.until(stop).collect()] == want
+
+
+def test_keys(people):
+    q = Query(people.table, people.source)
+    assert sorted(r["_id"] for r in q.where(f("Flag")).primary_keys().collect()) == [r["_id"] for r in DATA if r["Flag"]]
+    assert sorted(r["Name"] for r in q.keys("Name", unique=True).collect()) == sorted({r["Name"] for r in DATA if r["Name"]})
+    assert len(q.keys("Name").collect()) == sum(r["Name"] is not None for r in DATA)
+    assert sorted(r["_id"] for r in q.get_many([(3,), (5,), (5,), (99,)]).collect()) == [3, 5]

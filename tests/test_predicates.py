@@ -46,6 +46,8 @@ CASES = [
     (f("Secret") == "x", lambda r: False),
     (~((f("Age") > 30) & (f("Name") == "Jack")), lambda r: not (r["Age"] > 30 and r["Name"] == "Jack")), (~((f("Age") > 30) | f("Name").contains("a")), lambda r: not r["Age"] > 30 and has(lambda v: "a" not in v)(r, "Name")),
     (any_of([21, 28], lambda v: f("Age") == v), lambda r: r["Age"] in (21, 28)), (all_of(["a", "c"], lambda v: f("Name").contains(v)), lambda r: has(lambda v: "a" in v and "c" in v)(r, "Name")), (any_of([], lambda v: f("Age") == v), lambda r: False), (all_of([], lambda v: f("Age") == v), lambda r: True),
+    (f("Age").between(25, 31), lambda r: 25 <= r["Age"] < 31), (f("Age").between(25, 31, False, True), lambda r: 25 < r["Age"] <= 31), (f("Age").in_any_range([(20, 22), (30, 33)]), lambda r: 20 <= r["Age"] < 22 or 30 <= r["Age"] < 33),
+    (f("Name").none_of(["Jack", "Bo"]), lambda r: r["Name"] not in ("Jack", "Bo")), (f("Name").starts_with_any_of(["ja", "Z"], ignore_case=True), lambda r: has(lambda v: v.lower().startswith(("ja", "z")))(r, "Name")), (f("Name").is_in_ignoring_case(["JACK", "bo"]), lambda r: has(lambda v: v.lower() in ("jack", "bo"))(r, "Name")),
     ((f("Age") > 30) & True, lambda r: r["Age"] > 30), (False | (f("Age") > 30), lambda r: r["Age"] > 30),
 ]
 

@@ -45,6 +45,19 @@ def test_update_upsert_delete_clear(engine):
     assert t.query().count() == 0 and t.df().schema.names == PERSON.schema.names
 
 
+def test_modify_and_delete_where(engine):
+    t = engine.table("person")
+    t.add_range(rows())
+    n = sum(r["Name"] == "Jack" for r in rows())
+    assert t.modify(field("Name") == "Jack", {"YearsOld": 1}) == n and t.query().where(field("Age") == 1).to_df().count() == n
+    assert t.modify(field("Name") == "Nobody", {"Name": "x"}) == 0
+    assert t.delete_where(field("Name") == "Jack") == n and t.query().count() == 48 - n
+    assert t.delete_where(field("Name") == "Jack") == 0
+    for bad_change in ({"Id": 3}, {"Secret": "x"}):
+        with pytest.raises(ValueError):
+            t.modify(True, bad_change)
+
+
 def test_compound_key(engine):
     t = engine.table("pair")
     t.add_range([{"a": 1, "b": "x", "v": 1.0}, {"a": 1, "b": "y", "v": 2.0}])
