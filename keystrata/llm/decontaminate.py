@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.llm.text import slices, text_or_empty
+from keystrata.llm.text import returning, slices, text_or_empty
 
 Q = 10
 FRAGMENT = 100
@@ -136,12 +136,26 @@ class Index:
         return list(zip(f.tolist(), (b * step).tolist(), ((b + 2) * step).tolist(), strict=True))
 
 
+def _verbatim(pattern: np.ndarray, text: np.ndarray, low: int, high: int) -> int | None:
+    """Where the pattern stands in the text unchanged, on one of the diagonals."""
+    first = max(0, low)
+    stretch, wanted = text[first : max(first, high + 1 + len(pattern))].tobytes(), pattern.tobytes()
+    at = stretch.find(wanted)
+    while at >= 0 and at % pattern.itemsize:
+        at = stretch.find(wanted, at + 1)
+    place = first + at // pattern.itemsize
+    return place if at >= 0 and place <= high else None
+
+
 def aligned(pattern: np.ndarray, text: np.ndarray, low: int, high: int, most: int) -> tuple[int, int, int] | None:
     """The best alignment of the whole pattern with a stretch of the text, on diagonals low..high (text minus pattern place).
 
     Row by row, cells of the band only; the text may begin and end anywhere. Gives (edits, begin, end), or
     nothing if more than ``most`` edits are needed.
     """
+    whole = _verbatim(pattern, text, low, high)
+    if whole is not None:
+        return 0, whole, whole + len(pattern)
     width = high - low + 1
     far = most + 1
     at = np.arange(width)
@@ -227,8 +241,8 @@ def _search(index: Index) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
 def contaminations(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, item_id and the place (start, end) of each benchmark passage in a document, with the least edits of a fragment."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    parts = [rows.mapInArrow(_search(index), _FOUND) for index in benchmark_blocks(benchmark, block_bytes)]
-    return reduce(DataFrame.unionByName, parts) if parts else rows.mapInArrow(_search(Index([])), _FOUND)
+    parts = [rows.mapInArrow(returning(_search(index)), _FOUND) for index in benchmark_blocks(benchmark, block_bytes)]
+    return reduce(DataFrame.unionByName, parts) if parts else rows.mapInArrow(returning(_search(Index([]))), _FOUND)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -244,5 +258,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int =
         return run
 
     for index in benchmark_blocks(benchmark, block_bytes):
-        docs = docs.mapInArrow(cleaner(index), docs.schema)
+        docs = docs.mapInArrow(returning(cleaner(index)), docs.schema)
     return docs
