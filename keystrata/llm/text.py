@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import pyarrow as pa
 import pyarrow.compute
@@ -36,6 +39,18 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 <
             yield batch.slice(start)
 
 
+def returning(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The function, and at the end of its task freed memory goes back to the system: Python workers live on."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        gc.collect()
+        with suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def spread(df: DataFrame, spark: SparkSession) -> int:
     """Partitions for a stage that re-deals rows: the session's setting."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
