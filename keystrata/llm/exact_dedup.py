@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.llm.text import text_or_empty
+from keystrata.llm.text import returning, text_or_empty
 
 #: A hot text's rows meet their owner again under this many keys.
 SALTS = 32
@@ -243,9 +243,9 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     """One row per input row: its id, keep_id, group_size, kept and text_sha256. ``smallest`` picks the owner."""
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_or_empty(text_column).cast("binary").alias("body"))
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    folded = rows.select("doc_id", "salt", "body").mapInArrow(_fold(smallest, budget // 2), _FOLDED)
+    folded = rows.select("doc_id", "salt", "body").mapInArrow(returning(_fold(smallest, budget // 2)), _FOLDED)
     dealt = folded.repartition(F.octet_length("body"), F.xxhash64("body"))
-    owned = dealt.mapInArrow(_own(smallest, budget), _OWNED)
+    owned = dealt.mapInArrow(returning(_own(smallest, budget)), _OWNED)
     bits = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.getbit("salts", i) == 1)
     owners = owned.select("text_sha256", "keep_id", "group_size", F.explode(bits).alias("salt"))
     ids = rows.select("doc_id", "salt", F.sha2("body", 256).alias("text_sha256"))

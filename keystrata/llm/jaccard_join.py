@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keystrata.llm.components import components
-from keystrata.llm.text import slices, spread, text_or_empty
+from keystrata.llm.text import returning, slices, spread, text_or_empty
 from keystrata.sources.shared import fresh_folder
 
 WORDS = 5
@@ -58,7 +58,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sorted distinct 64-bit hashes of a text's word n-grams. Words are hashed once while there is room."""
 
-    ROOM = 400_000
+    ROOM = 200_000
 
     def __init__(self, n: int = WORDS) -> None:
         self.n, self.known = n, {}
@@ -234,7 +234,7 @@ def _grouped(spark: SparkSession, docs: DataFrame, n: int, threshold: float) ->
         df.write.parquet(f"{folder}/{name}")
         return spark.read.parquet(f"{folder}/{name}")
 
-    found = kept(docs.mapInArrow(_described(n), "doc_id long, set_key binary, bands array<long>"), "documents")
+    found = kept(docs.mapInArrow(returning(_described(n)), "doc_id long, set_key binary, bands array<long>"), "documents")
     # Copies fold before the shuffle; one of their equal band lists goes on.
     classes = found.groupBy("set_key").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("size"), F.first("bands").alias("bands"))
     classes = kept(classes.select(F.monotonically_increasing_id().alias("cid"), "*"), "classes")
@@ -250,7 +250,7 @@ def _grouped(spark: SparkSession, docs: DataFrame, n: int, threshold: float) ->
     tasks = meeting.select(F.explode("own").alias("low"), "own").select("low", F.explode(F.filter("own", lambda x: x >= F.col("low"))).alias("high")).distinct()
     wanted = kept(blocks.join(classes.drop("bands"), "cid"), "wanted")
     texts = docs.join(wanted.select(F.col("first_id").alias("wanted_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi").select("text")
-    contents = texts.mapInArrow(_contents(n), "set_key binary, signature binary, shingles binary").join(wanted, "set_key")
+    contents = texts.mapInArrow(returning(_contents(n)), "set_key binary, signature binary, shingles binary").join(wanted, "set_key")
     contents = kept(contents.dropDuplicates(["cid"]).select("cid", "block", "size", "signature", "shingles"), "contents")
     sides = tasks.select("low", "high", F.explode(F.array_distinct(F.array("low", "high"))).alias("block"))
     dealt = sides.join(contents, "block").repartition(spread(docs, spark), "low", "high")
@@ -296,5 +296,5 @@ def keep_one(spark: SparkSession, docs: DataFrame, n: int = WORDS, threshold: fl
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], names=[*names, "__key"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("__key", T.BinaryType())])
-    rows = docs.mapInArrow(keyed, schema).withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))))
+    rows = docs.mapInArrow(returning(keyed), schema).withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))))
     return rows.join(stay, ["__key", "__id"], "left_semi").dropDuplicates(["__key", "__id"]).select(*names)

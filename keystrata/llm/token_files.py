@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keystrata.llm.files import open_random, replacing
-from keystrata.llm.text import slices, spread, text_or_empty
+from keystrata.llm.text import returning, slices, spread, text_or_empty
 from keystrata.sources.shared import fresh_folder
 
 #: Fixed values of the format: a skippable frame's number, the seek table's mark, entry and footer layouts.
@@ -62,7 +62,7 @@ class WordCache:
     where the tokenizer does so itself. The cache is dropped when it is full.
     """
 
-    PIECES = 1_000_000
+    PIECES = 400_000
     STOP = re.compile(r"(?<=[^\W_])([.,])(?=[ \n\t])")
     MARK = "\x01"
 
@@ -214,7 +214,7 @@ def write_token_files(spark: SparkSession, docs: DataFrame, folder: str, vocabul
     """Writes the shards and a manifest with one row per shard (shard, n_docs, n_tokens); returns the manifest."""
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_or_empty(text_column).alias("text"))
     dealt = rows.repartitionByRange(spread(rows, spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    dealt.mapInArrow(_write(folder, vocabulary, end_id), _WRITTEN).write.parquet(f"{folder}/manifest")
+    dealt.mapInArrow(returning(_write(folder, vocabulary, end_id)), _WRITTEN).write.parquet(f"{folder}/manifest")
     return spark.read.parquet(f"{folder}/manifest")
 
 
@@ -239,7 +239,7 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     shards = sorted(spark.read.parquet(f"{folder}/manifest").select("shard", "n_tokens").collect())  # a row per shard
     starts = [0, *accumulate(r.n_tokens for r in shards)]
     tasks = spark.createDataFrame([(r.shard, at) for r, at in zip(shards, starts, strict=False)], "shard long, start long")
-    return tasks.repartition(max(1, len(shards))).mapInArrow(_read(folder), _READ)
+    return tasks.repartition(max(1, len(shards))).mapInArrow(returning(_read(folder)), _READ)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, vocabulary: str, end_id: int = 2, folder: str | None = None) -> DataFrame:
