@@ -44,6 +44,8 @@ LABELS = frozenset(
     "subscribe subscription signup login share sharing social related recommended widget pagination pager toolbar complementary contentinfo search form skip".split()
 )
 HEADER_LABELS = frozenset("header masthead".split())
+#: The same as the end of a longer word ("sitefooter", "topnav").
+LABEL_ENDS = ("nav", "navbar", "menu", "footer", "sidebar", "comments", "banner", "cookie", "advert")
 
 TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>\"']*+(?:\"[^\"]*+\"[^>\"']*+|'[^']*+'[^>\"']*+)*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)", re.S)
 NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -127,7 +129,9 @@ def _order(top: Node) -> list[Node]:
 
 
 def _labels(node: Node) -> set[str]:
-    return {w.lower() for m in NAMED.finditer(node.attributes) for w in WORDS.findall(m[2] or m[3] or m[4] or "")}
+    """Labels of parts outside the main text among the words of class, id and role."""
+    words = {w.lower() for m in NAMED.finditer(node.attributes) for w in WORDS.findall(m[2] or m[3] or m[4] or "")}
+    return {w for w in words if w in LABELS or w.endswith(LABEL_ENDS)}
 
 
 def _length(text: str) -> int:
@@ -163,7 +167,7 @@ def _prune(top: Node) -> None:
                 kept.append(part)
                 continue
             most = part.tag in ("body", "html", "main") or id(part) in wraps or part.chars * 2 > whole
-            named = _labels(part) & LABELS if part.attributes and not most else set()
+            named = _labels(part) if part.attributes and not most else set()
             if (part.tag in NEVER and not (part.tag == "form" and most)) or (part.attributes and HIDDEN.search(part.attributes)):
                 kept.append(" ")
             elif part.tag == "header" or named and named <= HEADER_LABELS:
@@ -207,6 +211,8 @@ def _content(body: Node) -> list[Node]:
         outer = [x for x in path if x.tag == name]
         if outer:
             return [outer[-1]]
+    while best is not body and best.chars * 2 < best.parent.chars and best.parent.link_chars * 4 < best.parent.chars:
+        best = best.parent  # a section of a longer text
     if best is body:
         return [body]
     threshold = min(x.density for x in path)

@@ -19,6 +19,7 @@ AROUND = "<nav><ul><li><a href=1>Home</a><li><a href=2>News</a></ul></nav>{}<foo
         (ARTICLE.replace("</article>", "<div class='reader-comments'><p>nice</p></div><div class='share'>tweet</div></article>"), TEXT),
         ("<article><p>open one<p>open two<ul><li>a point<li>b point</ul></article>", "open one\nopen two\na point\nb point"),
         ("<div><div class=body><h2>Head</h2><p>Long enough paragraph of plain text, one.</p><p>Long enough paragraph of plain text, two.</p></div><div class='sidebar'><p>x</p></div></div>", "Head\nLong enough paragraph of plain text, one.\nLong enough paragraph of plain text, two."),
+        ("<div id=wrap><div class=topnav><p>Home page of ours</p></div><div><section><h2>One</h2><p>First section of the text, long enough.</p></section><section><h2>Two</h2><p>Second section of the text, long enough.</p></section><section><h2>Three</h2><p>Third section of the text, long enough.</p></section></div><div class=sitefooter><p>Imprint and more</p></div></div>", "One\nFirst section of the text, long enough.\nTwo\nSecond section of the text, long enough.\nThree\nThird section of the text, long enough."),
         ("<article><p>unclosed <b>bold<br><p>next</article>", "unclosed bold\nnext"),
         ("<article><p>x &am y &amp z &#x41;&#66;</article>", "x &am y & z AB"),
         ("<article><p>a</p><!-- never closed <p>b</p></article>", "a"),
