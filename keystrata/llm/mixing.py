@@ -87,8 +87,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, slots: int = 1 << 18, repe
     heads = rows.groupBy("number", "prefix").agg(F.sum("size").alias("words"))
     before = F.sum("words").over(Window.partitionBy("number").orderBy("prefix").rowsBetween(Window.unboundedPreceding, 0)) - F.col("words")
     rows = rows.join(heads.select("number", "prefix", before.alias("before")), ["number", "prefix"]).withColumn("start", F.col("before") + F.col("within")).drop("before", "within", "key", "prefix", "total")
-    rows.write.parquet(f"{folder}/streams")
-    rows = spark.read.parquet(f"{folder}/streams").withColumn("row", F.monotonically_increasing_id())
+    rows.withColumn("row", F.monotonically_increasing_id()).write.parquet(f"{folder}/streams")
+    rows = spark.read.parquet(f"{folder}/streams")
     touched = rows.filter("size > 0").select("row", "number", "start", "size", "length", F.explode(F.sequence(F.floor(F.col("start") / F.col("length")), F.floor((F.col("start") + F.col("size") - 1) / F.col("length")))).alias("block"))
     overlap = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * F.col("length")) - F.greatest("start", F.col("block") * F.col("length"))
     taken = touched.join(schedule(spark, plan, slots, repeats), ["number", "block"]).groupBy("row").agg(F.sum(overlap * F.col("uses")).alias("taken"))
