@@ -5,7 +5,7 @@ its end) occurs in toxic documents far beyond chance, and hardly ever in others,
 the training lines. The field has two states, hashed spelling features and transitions, and is fitted by
 full-batch gradient steps on a bounded sample of labelled rows (``positives`` and ``negatives`` documents at
 most, by a hash of their id). Scoring covers every token of every text: forward-backward marginals per line,
-then per document the greatest and the expected number of toxic tokens, mapped to 0..1 by a logistic
+then per document the two greatest and the expected number of toxic tokens, mapped to 0..1 by a logistic
 regression fitted on the same sample.
 
 Defined results: a null text counts as empty; an empty text has no tokens and gets the score of a text
@@ -27,20 +27,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.llm.text import slices, text_or_empty
+from keystrata.llm.text import returning, slices, text_or_empty
 
 TOKEN = re.compile(r"\w+")
 BITS = 20
 MASK = (1 << BITS) - 1
-WIDTH = 10
-CACHE = 400_000
+WIDTH = 14
+CACHE = 200_000
 STEPS = 40
 
 
 def spellings(word: str) -> list[str]:
-    """The word, its beginnings of three to six letters and its ends of three to five."""
+    """The word, its beginnings of three to six letters, its ends of three to five, and its stems: beginnings that more letters follow."""
     n = len(word)
-    return [f"w{word}", *(f"p{word[:k]}" for k in range(3, min(n, 6) + 1)), *(f"s{word[-k:]}" for k in range(3, min(n, 5) + 1))]
+    return [f"w{word}", *(f"p{word[:k]}" for k in range(3, min(n, 6) + 1)), *(f"s{word[-k:]}" for k in range(3, min(n, 5) + 1)), *(f"q{word[:k]}" for k in range(4, min(n - 1, 8) + 1))]
 
 
 def features(word: str) -> list[int]:
@@ -49,8 +49,10 @@ def features(word: str) -> list[int]:
     return [*out, MASK + 2, *[0] * (WIDTH - 1 - len(out))]
 
 
-def lines_of(text: str) -> list[list[str]]:
-    return [TOKEN.findall(line) for line in text.lower().split("\n")]
+def lines_of(text: str, pool: dict[str, str] | None = None) -> list[list[str]]:
+    """Lower-case words by line; equal words are one object where a pool is given."""
+    lines = [TOKEN.findall(line) for line in text.lower().split("\n")]
+    return lines if pool is None else [[pool.setdefault(w, w) for w in line] for line in lines]
 
 
 # --- evidence
@@ -65,34 +67,84 @@ def log_tail(a: int, n: int, rate: float) -> float:
     return -n * (share * math.log(share / rate) + rest)
 
 
+#: Once in a text: nearly never elsewhere. Twice or more: at least so many times as often as elsewhere.
+ONCE, TWICE = 50, 8
+
+
+class _Spelled:
+    """Texts as numbers of words, and per word the hashes of its spellings (of this process; 0 pads)."""
+
+    def __init__(self, texts: list[list[list[str]]]) -> None:
+        number: dict[str, int] = {}
+        self.texts = [np.array([number.setdefault(w, len(number)) for line in text for w in line], np.int64) for text in texts]
+        self.words = list(number)
+        self.table = np.zeros((len(self.words), WIDTH), np.int64)
+        for k, w in enumerate(self.words):
+            own = [hash(s) for s in spellings(w)]
+            self.table[k, : len(own)] = own
+
+    def counts(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The spellings of a text and how often each occurs."""
+        found, n = np.unique(self.table[self.texts[k]].ravel(), return_counts=True)
+        return found[found != 0], n[found != 0]
+
+
+def _levels(spelled: _Spelled, toxic: list[int]) -> tuple[dict[str, tuple[int, int]], Callable[[int, int, int], bool]]:
+    """Spellings that stand out, each with how many other texts have them and how much rarer they have to be there."""
+    ones = [k for k, y in enumerate(toxic) if y]
+    each = [spelled.counts(k) for k in ones]
+    tried, once = np.unique(np.concatenate([f for f, _ in each]), return_counts=True)
+    twice = np.zeros(len(tried), np.int64)
+    for found, n in each:
+        twice[np.searchsorted(tried, found[n > 1])] += 1
+    limit = math.log(0.05) - math.log(max(1, 2 * len(tried)))
+    enough = once >= 3
+    keys, counts = tried[enough], (once[enough], twice[enough])
+    others = np.zeros((2, len(keys)), np.int64)
+    for k, y in enumerate(toxic):
+        if not y and len(keys):
+            found, n = spelled.counts(k)
+            at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
+            same = keys[at] == found
+            others[0, at[same]] += 1
+            others[1, at[same & (n > 1)]] += 1
+    rate = len(ones) / len(toxic)
+
+    def holds(n: int, z: int, least: int) -> bool:
+        return n >= 3 and z * least <= n and log_tail(n, n + z, rate) < limit
+
+    good: dict[int, tuple[int, int]] = {}
+    for level, least in enumerate((ONCE, TWICE)):
+        for j in np.flatnonzero((counts[level] >= 3) & (others[level] * least <= counts[level])).tolist():
+            if int(keys[j]) not in good and holds(int(counts[level][j]), int(others[level, j]), least):
+                good[int(keys[j])] = int(others[level, j]), least
+    marked = np.isin(spelled.table, np.array(list(good), np.int64)).any(1)
+    return {s: good[hash(s)] for k in np.flatnonzero(marked).tolist() for s in spellings(spelled.words[k]) if hash(s) in good}, holds
+
+
 def evidence(texts: list[list[list[str]]], toxic: list[int]) -> set[str]:
-    """Spellings that mark toxic documents: nearly never elsewhere, and beyond what so many spellings give by chance.
+    """Spellings that mark toxic documents, by occurring at all or by recurring, beyond what so many spellings give by chance.
 
     Occurrences count once per neighbourhood (the word between its neighbours), so that copies of one
     document are no evidence. The spelling that explains most occurrences is taken first, the longest among
     equals; the others have to stand on what remains.
     """
-    ones, zeros = Counter(), Counter()
-    for text, label in zip(texts, toxic, strict=True):
-        (ones if label else zeros).update({s for line in text for w in set(line) for s in spellings(w)})
-    rate = sum(toxic) / max(1, len(toxic))
-    limit = math.log(0.05) - math.log(max(1, len(ones)))
-
-    def holds(n: int, s: str) -> bool:
-        return n >= 3 and zeros[s] * 50 <= n and log_tail(n, n + zeros[s], rate) < limit
-
-    candidates = {s for s, n in ones.items() if holds(n, s)}
-    places: dict[str, set[tuple]] = {s: set() for s in candidates}
+    if len(set(toxic)) < 2:
+        return set()
+    levels, holds = _levels(_Spelled(texts), toxic)
+    of_word: dict[str, list[str]] = {}
+    places: dict[str, set[tuple]] = {s: set() for s in levels}
     for text, label in zip(texts, toxic, strict=True):
         for line in text if label else ():
             for k, w in enumerate(line):
-                for s in spellings(w):
-                    if s in candidates:
-                        places[s].add((line[k - 1] if k else "", w, line[k + 1] if k + 1 < len(line) else ""))
+                if w not in of_word:
+                    of_word[w] = [s for s in spellings(w) if s in levels]
+                for s in of_word[w]:
+                    places[s].add((line[k - 1] if k else "", w, line[k + 1] if k + 1 < len(line) else ""))
     chosen: set[str] = set()
     while places:
         best = max(places, key=lambda s: (len(places[s]), len(s), s))
-        if not holds(len(places[best]), best):
+        if not holds(len(places[best]), *levels[best]):
             del places[best]
             continue
         chosen.add(best)
@@ -110,7 +162,7 @@ class Field:
 
     weights: np.ndarray = field(default_factory=lambda: np.zeros(MASK + 3, np.float32))
     moves: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
-    logistic: np.ndarray = field(default_factory=lambda: np.array([-30.0, 0.0, 0.0]))
+    logistic: np.ndarray = field(default_factory=lambda: np.array([-30.0, 0.0, 0.0, 0.0]))
 
 
 def _chunks(sizes: np.ndarray, most_cells: int = 1 << 20, most_rows: int = 8192) -> Iterator[np.ndarray]:
@@ -198,18 +250,19 @@ def fit_field(lines: list[list[str]], labels: list[list[int]]) -> Field:
     return model
 
 
-def summary(marginals: np.ndarray) -> tuple[float, float]:
-    """What a document's score depends on: log-odds of its most toxic token, and the expected number of them."""
-    top = float(marginals.max()) if len(marginals) else 0.0
-    top = min(max(top, 1e-7), 1 - 1e-7)
-    return math.log(top / (1 - top)), math.log1p(float(marginals.sum()))
+def summary(marginals: np.ndarray) -> list[float]:
+    """What a document's score depends on: log-odds of its most and second most toxic token, and the expected number of them."""
+    top = np.sort(marginals)[-2:] if len(marginals) < 3 else np.sort(np.partition(marginals, -2)[-2:])
+    top = np.clip(np.concatenate([np.zeros(2 - len(top)), top]), 1e-7, 1 - 1e-7)
+    second, first = np.log(top / (1 - top)).tolist()
+    return [first, second, math.log1p(float(marginals.sum()))]
 
 
 def fit_logistic(points: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """Bias and two weights, by Newton steps with a ridge."""
+    """Bias and weights, by Newton steps with a ridge."""
     x = np.column_stack([np.ones(len(points)), points])
-    w = np.zeros(3)
-    ridge = np.diag([1e-3, 0.05, 0.05]) * max(1.0, len(points) / 100)
+    w = np.zeros(x.shape[1])
+    ridge = np.diag([1e-3, *[0.02] * points.shape[1]]) * max(1.0, len(points) / 100)
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         hessian = (x * (p * (1 - p))[:, None]).T @ x + ridge
@@ -245,8 +298,7 @@ class Scorer:
         return np.split(all_of, ends[:-1]) if len(texts) else []
 
     def score(self, marginals: np.ndarray) -> float:
-        top, count = summary(marginals)
-        z = float(self.model.logistic @ np.array([1.0, top, count]))
+        z = float(self.model.logistic @ np.array([1.0, *summary(marginals)]))
         return 1 / (1 + math.exp(-min(max(z, -30.0), 30.0)))
 
 
@@ -267,21 +319,23 @@ def spans(text: str, marginals: np.ndarray, least: float = 0.5) -> list[dict]:
 def fit(texts: list[str], toxic: list[int]) -> Field:
     if len(set(toxic)) < 2:
         return Field()
-    lines = [lines_of(t) for t in texts]
+    pool: dict[str, str] = {}
+    lines = [lines_of(t, pool) for t in texts]
     marks = evidence(lines, toxic)
-    hot = {w for text, y in zip(lines, toxic, strict=True) if y for line in text for w in line if any(s in marks for s in spellings(w))}
+    hot = {w for w in pool if any(s in marks for s in spellings(w))}
     chosen, labels = [], []
     for text, y in zip(lines, toxic, strict=True):
         for k, line in enumerate(text):
-            own = [int(bool(y) and w in hot) for w in line]
-            if any(own) or k % 4 == 0:  # other lines teach the reference state; a quarter of them is plenty
+            marked = [w in hot for w in line]
+            if any(marked) or k % 4 == 0:  # other lines teach the reference state; a quarter of them is plenty
                 chosen.append(line)
-                labels.append(own)
+                labels.append([int(bool(y) and m) for m in marked])
     model = fit_field(chosen, labels)
+    del lines, chosen, labels, pool
     scorer = Scorer(model)
     points = []
-    for k in range(0, len(texts), 500):
-        points += [summary(m) for m in scorer.marginals(texts[k : k + 500])]
+    for k in range(0, len(texts), 200):
+        points += [summary(m) for m in scorer.marginals(texts[k : k + 200])]
     model.logistic = fit_logistic(np.array(points), np.array(toxic, float))
     return model
 
@@ -326,7 +380,7 @@ def _score(model: Field, threshold: float) -> Callable[[Iterator[pa.RecordBatch]
 def score_toxicity(docs: DataFrame, model: Field, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted and the offending spans, for every row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), text_or_empty().alias("text"))
-    return rows.mapInArrow(_score(model, threshold), _SCORED)
+    return rows.mapInArrow(returning(_score(model, threshold)), _SCORED)
 
 
 def drop_toxic(docs: DataFrame, model: Field, threshold: float = 0.7) -> DataFrame:
@@ -338,4 +392,4 @@ def drop_toxic(docs: DataFrame, model: Field, threshold: float = 0.7) -> DataFra
             texts = [t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
             yield batch.filter(pa.array([scorer.score(m) < threshold for m in scorer.marginals(texts)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(returning(run), docs.schema)

@@ -46,7 +46,7 @@ def test_copies_are_no_evidence():
         texts.append(f"plain words clean{k} and nothing")
         toxic.append(0)
     marks = evidence([lines_of(t) for t in texts], toxic)
-    assert any(m.startswith("pvile") for m in marks) and "wcopied0" not in marks
+    assert any(m[1:].startswith("vile") for m in marks) and "wcopied0" not in marks
 
 
 @pytest.fixture(scope="module")
