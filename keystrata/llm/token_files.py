@@ -62,7 +62,7 @@ class WordCache:
     where the tokenizer does so itself. The cache is dropped when it is full.
     """
 
-    PIECES = 400_000
+    PIECES = 1_000_000
     STOP = re.compile(r"(?<=[^\W_])([.,])(?=[ \n\t])")
     MARK = "\x01"
 
