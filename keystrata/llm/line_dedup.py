@@ -161,6 +161,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, least_words: int = LEAST_W
     # Lines with many occurrences are met under salted keys.
     salted = marks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col("hot"), SALTS - 1).otherwise(0))))
     seen = _maybe_in(_lines(rows), "h1", _filter_of(marks.select("h1"))).select(_place().alias("place"), "h1", _second_hash().alias("h2"), "doc_id", "content", "line_no")
+    seen.write.parquet(f"{folder}/seen")  # few of all lines, and read twice
+    seen = spark.read.parquet(f"{folder}/seen")
     hot = seen.withColumn("salt", F.pmod(F.xxhash64("content", "doc_id"), F.lit(SALTS)).cast("int")).join(salted.filter("hot"), ["h1", "h2", "salt"])
     cold = seen.withColumn("salt", F.lit(0)).join(salted.filter("NOT hot"), ["h1", "h2", "salt"])
     gone = hot.unionByName(cold).filter(F.col("near") | (F.col("place") != F.col("first")))
