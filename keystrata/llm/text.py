@@ -39,10 +39,21 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 <
             yield batch.slice(start)
 
 
-def returning(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """The function, and at the end of its task freed memory goes back to the system: Python workers live on."""
+#: What a Python worker keeps from one task to the next, by the name of its owner.
+WORKER_CACHE: dict[str, object] = {}
+
+
+def drop_caches(keeps: str) -> None:
+    """Of this process. By name, so that a task reaches the module's own dictionary and no pickled copy of it."""
+    for name in [x for x in WORKER_CACHE if x != keeps]:
+        del WORKER_CACHE[name]
+
+
+def returning(run: Callable[[Iterator], Iterator], keeps: str = "") -> Callable[[Iterator], Iterator]:
+    """The function; before it others' caches go, after it freed memory goes back to the system: Python workers live on."""
 
     def wrapped(batches: Iterator) -> Iterator:
+        drop_caches(keeps)
         yield from run(batches)
         gc.collect()
         with suppress(OSError, AttributeError):

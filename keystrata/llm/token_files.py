@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keystrata.llm.files import open_random, replacing
-from keystrata.llm.text import returning, slices, spread, text_or_empty
+from keystrata.llm.text import WORKER_CACHE, returning, slices, spread, text_or_empty
 from keystrata.sources.shared import fresh_folder
 
 #: Fixed values of the format: a skippable frame's number, the seek table's mark, entry and footer layouts.
@@ -134,10 +134,12 @@ class WordCache:
         return np.split(ids, np.concatenate([[0], ends])[cuts])
 
 
-@lru_cache(maxsize=2)
 def word_cache(path: str) -> WordCache:
-    """One for all tasks of a Python worker."""
-    return WordCache(path)
+    """One for all tasks of a Python worker that follow each other."""
+    held = WORKER_CACHE.get("pieces")
+    if not isinstance(held, tuple) or held[0] != path:
+        held = WORKER_CACHE["pieces"] = path, WordCache(path)
+    return held[1]
 
 
 class ShardWriter:
@@ -214,7 +216,7 @@ def write_token_files(spark: SparkSession, docs: DataFrame, folder: str, vocabul
     """Writes the shards and a manifest with one row per shard (shard, n_docs, n_tokens); returns the manifest."""
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_or_empty(text_column).alias("text"))
     dealt = rows.repartitionByRange(spread(rows, spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    dealt.mapInArrow(returning(_write(folder, vocabulary, end_id)), _WRITTEN).write.parquet(f"{folder}/manifest")
+    dealt.mapInArrow(returning(_write(folder, vocabulary, end_id), keeps="pieces"), _WRITTEN).write.parquet(f"{folder}/manifest")
     return spark.read.parquet(f"{folder}/manifest")
 
 
