@@ -211,19 +211,23 @@ def _content(body: Node) -> list[Node]:
         outer = [x for x in path if x.tag == name]
         if outer:
             return [outer[-1]]
-    while best is not body and best.chars * 2 < best.parent.chars and best.parent.link_chars * 4 < best.parent.chars:
-        best = best.parent  # a section of a longer text
-    if best is body:
-        return [body]
     threshold = min(x.density for x in path)
-    siblings = [x for x in best.parent.parts if isinstance(x, Node)]
-    return [x for x in siblings if x is best or x.tag in HEADINGS or (x.density >= threshold and any(isinstance(y, Node) and y.tag == "p" for y in x.parts)) or (x.tag == "p" and x.density >= threshold)]
+    while best is not body and (best.chars == best.parent.chars or best.chars * 2 < best.parent.chars and best.parent.link_chars * 4 < best.parent.chars):
+        best = best.parent  # a wrapper of the same text, or a section of a longer one
+    tops, inner = [best], best
+    while inner is not body:
+        around = [x for x in inner.parent.parts if isinstance(x, Node)]
+        at = next(k for k, x in enumerate(around) if x is inner)
+        keep = [x.density >= threshold or (inner is best and x.tag in HEADINGS) for x in around]
+        tops = [*(x for x, k in zip(around[:at], keep[:at], strict=True) if k), *tops, *(x for x, k in zip(around[at + 1 :], keep[at + 1 :], strict=True) if k)]
+        inner = inner.parent
+    return tops
 
 
 def _blocks(tops: list[Node]) -> Iterator[str]:
     held: list[str] = []
-    stack: list[Node | str | None] = list(reversed(tops))
     for_break = None
+    stack: list[Node | str | None] = [x for top in reversed(tops) for x in (for_break, top)]
     while stack:
         x = stack.pop()
         if x is for_break:

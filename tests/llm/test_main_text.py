@@ -29,6 +29,22 @@ def test_pages(page, text):
     assert main_text(page) == text
 
 
+@pytest.mark.parametrize(("sections", "paragraphs"), [(3, 8), (2, 4), (4, 12), (6, 20)])
+def test_wrapped_sections_stay_whole(sections, paragraphs):
+    texts = [f"{s}.{p} ".ljust(250, "w") for s in range(sections) for p in range(paragraphs)]
+    parts = ["".join(f"<p>{t}</p>" for t in texts[s * paragraphs : (s + 1) * paragraphs]) for s in range(sections)]
+    page = "<body>" + "".join(f"<section><div class=inner>{x}</div></section>" for x in parts) + "</body>"
+    assert main_text(page) == "\n".join(texts)
+
+
+@pytest.mark.parametrize("part", ["<table><tr><td>{}</td></tr></table>", "<pre>{}</pre>", "<blockquote>{}</blockquote>", "<ul><li>{}</li></ul>", "<div>{}</div>"])
+def test_dense_parts_without_paragraphs_stay(part):
+    first, other, last = ("abc " * 60).strip(), ("def " * 75).strip(), ("ghi " * 75).strip()
+    links = "".join(f"<p><a href={k}>link {k}</a></p>" for k in range(12))
+    page = f"<body><div>{links}</div><div>{part.format(last)}<div>{part.format(other)}<div>" + f"<p>{first}</p>" * 8 + "</div></div></div></body>"
+    assert main_text(page) == "\n".join([last, other, *[first] * 8])
+
+
 def test_hostile_pages_end():
     assert main_text("<" * 3000)
     assert main_text("<div>" * 5000 + "x") == "x"
