@@ -1,6 +1,7 @@
 """Benchmark passages in documents by q-gram filtering in diagonal bands and banded alignment.
 
-Benchmark texts are cut into overlapping fragments, each with an edit budget of a share of its length. A text
+Benchmark texts are cut into overlapping fragments, each with an edit budget of a share of its length; one begins
+every so many characters as its budget, so that an excerpt is found wherever it is cut. A text
 that holds a fragment within k edits shares at least m + 1 - q(k + 1) of its q-grams with it, all on k + 1
 neighbouring diagonals; shared q-grams are counted in diagonal bands twice that wide, each overlapping the
 next by half, so one band sees them all. Bands that reach the bound are verified by a banded alignment of the
@@ -28,11 +29,13 @@ from pyspark.sql import functions as F
 from keystrata.llm.text import returning, slices, text_or_empty
 
 Q = 10
-FRAGMENT = 100
+FRAGMENT = 32
 RATE = 0.08
 LEAST = 32
 BLOCK_BYTES = 4 << 20
 _FILTER_BITS = 22
+#: Fragments aligned at once.
+_TOGETHER = 2048
 
 
 def _small_letters() -> np.ndarray:
@@ -75,11 +78,11 @@ def grams(chars: np.ndarray, q: int = Q) -> np.ndarray:
 
 
 class Index:
-    """The fragments of a block of benchmark texts and their q-grams."""
+    """The fragments of a block of benchmark texts and their q-grams. A q-gram's postings are places in texts; the fragments around a place are computed."""
 
     def __init__(self, items: list[tuple[Any, str]], q: int = Q, fragment: int = FRAGMENT, rate: float = RATE, least: int = LEAST) -> None:
         self.q, self.ids, self.chars = q, [], []
-        owner, begin, size, budget = [], [], [], []
+        length, stride, last = [], [], []
         for item_id, text in items:
             chars = normalized(text.strip())[0]
             m = len(chars)
@@ -87,22 +90,25 @@ class Index:
                 continue
             self.ids.append(item_id)
             self.chars.append(chars)
-            length = min(fragment, m)
-            starts = list(range(0, m - length, max(1, length // 2)))
-            starts.append(m - length)
-            for s in dict.fromkeys(starts):
-                owner.append(len(self.ids) - 1)
-                begin.append(s)
-                size.append(length)
-                budget.append(min(int(rate * length), max(0, length // q - 1)))
-        self.owner, self.begin, self.size, self.budget = (np.array(x, np.int64) for x in (owner, begin, size, budget))
+            length.append(min(fragment, m))
+            # The budget covers what an excerpt lacks at its nearest fragment, wherever it is cut.
+            stride.append(max(1, min(int(rate * length[-1]), length[-1] // q - 1)))
+            last.append(-(-(m - length[-1]) // stride[-1]))
+        self.length, self.stride, self.last = (np.array(x, np.int64) for x in (length, stride, last))
+        sizes = np.array([len(x) for x in self.chars], np.int64)
+        self.base = np.cumsum(self.last + 1) - (self.last + 1)
+        self.owner = np.repeat(np.arange(len(self.ids), dtype=np.int32), self.last + 1)
+        number = np.arange(len(self.owner)) - np.repeat(self.base, self.last + 1)
+        self.size = self.length[self.owner].astype(np.int32)
+        self.begin = np.minimum(number * self.stride[self.owner], (sizes - self.length)[self.owner]).astype(np.int32)
+        self.budget = np.minimum((rate * self.size).astype(np.int32), np.maximum(0, self.size // q - 1))
         self.need = self.size + 1 - q * (self.budget + 1)
-        per = [grams(self.chars[o][b : b + s], q) for o, b, s in zip(owner, begin, size, strict=True)]
+        per = [grams(x, q) for x in self.chars]
         all_grams = np.concatenate(per) if per else np.zeros(0, np.uint64)
-        fragments = np.repeat(np.arange(len(per)), [len(x) for x in per])
-        places = np.concatenate([np.arange(len(x)) for x in per]) if per else np.zeros(0, np.int64)
+        owners = np.repeat(np.arange(len(per), dtype=np.int32), [len(x) for x in per])
+        places = np.concatenate([np.arange(len(x), dtype=np.int32) for x in per]) if per else np.zeros(0, np.int32)
         order = np.argsort(all_grams, kind="stable")
-        self.fragments, self.places = fragments[order], places[order]
+        self.owners, self.places = owners[order], places[order]
         self.grams, self.first, self.count = np.unique(all_grams[order], return_index=True, return_counts=True)
         self.seen = np.zeros(1 << _FILTER_BITS, bool)
         self.seen[self.grams >> np.uint64(64 - _FILTER_BITS)] = True
@@ -118,93 +124,106 @@ class Index:
         at, k = at[same], k[same]
         n = self.count[k]
         post = np.repeat(self.first[k] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        return self.fragments[post], np.repeat(at, n) - self.places[post]
-
-    def regions(self, fragment: np.ndarray, diagonal: np.ndarray) -> list[tuple[int, int, int]]:
-        """Fragments with the diagonals (from, before) of the bands that reach their bound."""
-        if not len(fragment):
-            return []
+        at, owner, place = np.repeat(at, n), self.owners[post], self.places[post].astype(np.int64)
+        length, stride, last = self.length[owner], self.stride[owner], self.last[owner]
+        end = np.array([len(x) for x in self.chars], np.int64)[owner] - length  # where the last fragment begins
+        low = np.minimum(-(-np.maximum(0, place + self.q - length) // stride), last)
+        n = np.maximum(0, np.where(place >= end, last, place // stride) - low + 1)
+        number = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        fragment = np.repeat(self.base[owner], n) + number
+        return fragment, np.repeat(at - place, n) + self.begin[fragment]
+
+    def regions(self, fragment: np.ndarray, diagonal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Fragments with the first diagonal of each band that reaches their bound."""
         step = self.budget[fragment] + 1
         band = diagonal // step
-        shift = np.int64(1) << np.int64(40)
+        shift = np.int64(1) << np.int64(36)
         keys = np.concatenate([fragment * shift + band, fragment * shift + band - 1]) + (shift >> np.int64(1))
         key, n = np.unique(keys, return_counts=True)
         f = key // shift
         good = n >= self.need[f]
         f, b = f[good], key[good] % shift - (shift >> np.int64(1))
-        step = self.budget[f] + 1
-        return list(zip(f.tolist(), (b * step).tolist(), ((b + 2) * step).tolist(), strict=True))
-
+        return f, b * (self.budget[f] + 1)
 
-def _verbatim(pattern: np.ndarray, text: np.ndarray, low: int, high: int) -> int | None:
-    """Where the pattern stands in the text unchanged, on one of the diagonals."""
-    first = max(0, low)
-    stretch, wanted = text[first : max(first, high + 1 + len(pattern))].tobytes(), pattern.tobytes()
-    at = stretch.find(wanted)
-    while at >= 0 and at % pattern.itemsize:
-        at = stretch.find(wanted, at + 1)
-    place = first + at // pattern.itemsize
-    return place if at >= 0 and place <= high else None
 
+def align(patterns: np.ndarray, chars: np.ndarray, low: np.ndarray, width: int, first: np.ndarray, end: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The best alignments of whole patterns (one a row) with stretches of their texts, chars[first:end], on so many diagonals from ``low`` on.
 
-def aligned(pattern: np.ndarray, text: np.ndarray, low: int, high: int, most: int) -> tuple[int, int, int] | None:
-    """The best alignment of the whole pattern with a stretch of the text, on diagonals low..high (text minus pattern place).
-
-    Row by row, cells of the band only; the text may begin and end anywhere. Gives (edits, begin, end), or
-    nothing if more than ``most`` edits are needed.
+    Character by character, cells of the bands only; a text may begin and end anywhere. Gives (row, edits, begin,
+    end) of the patterns that need ``most`` edits at most.
     """
-    whole = _verbatim(pattern, text, low, high)
-    if whole is not None:
-        return 0, whole, whole + len(pattern)
-    width = high - low + 1
-    far = most + 1
-    at = np.arange(width)
-    row = np.where((at + low >= 0) & (at + low <= len(text)), 0, far)
-    begin = at + low
-    for i, c in enumerate(pattern.tolist()):
-        place = at + low + i  # text characters used before this row's match, on each diagonal
-        inside = (place >= 0) & (place < len(text))
-        cost = np.where(inside, text[np.clip(place, 0, max(0, len(text) - 1))] != c, far) if len(text) else np.full(width, far)
+    m, far = patterns.shape[1], most + 1
+    at = np.arange(width, dtype=np.int32)
+    alive = np.arange(len(patterns))
+    place = low[:, None] + np.arange(width + m)
+    inside = (place >= first[:, None]) & (place < end[:, None])
+    text = chars[np.clip(place, 0, max(0, len(chars) - 1))] if len(chars) else np.zeros(place.shape, np.uint32)
+    start = place[:, :width]
+    row = np.where((start >= first[:, None]) & (start <= end[:, None]), 0, far).astype(np.int32)
+    begin = np.broadcast_to(at, row.shape)
+    for i in range(m):
+        cost = np.where(inside[:, i : i + width], text[:, i : i + width] != patterns[:, i : i + 1], far).astype(np.int32)
         new, came = row + cost, begin
-        skip = np.concatenate([row[1:] + 1, [far]])  # the pattern's character has no partner
+        skip = np.full_like(row, far)  # the pattern's character has no partner
+        skip[:, :-1] = row[:, 1:] + 1
         better = skip < new
-        new, came = np.where(better, skip, new), np.where(better, np.concatenate([begin[1:], [0]]), came)
+        moved = np.zeros_like(row)
+        moved[:, :-1] = begin[:, 1:]
+        new, came = np.where(better, skip, new), np.where(better, moved, came)
         reach = new - at
-        best = np.minimum.accumulate(reach)  # text characters without partners
-        source = np.maximum.accumulate(np.where(reach == best, at, 0))
-        row, begin = np.minimum(best + at, far), came[source]
-        if row.min() > most:
-            return None
-    end = at + low + len(pattern)
-    row = np.where((end >= 0) & (end <= len(text)), row, far)
-    k = int(row.argmin())
-    return (int(row[k]), int(begin[k]), int(end[k])) if row[k] <= most else None
+        best = np.minimum.accumulate(reach, axis=1)  # text characters without partners
+        source = np.maximum.accumulate(np.where(reach == best, at, 0), axis=1)
+        row, begin = np.minimum(best + at, far), np.take_along_axis(came, source, axis=1)
+        if i % 4 == 3:
+            good = row.min(axis=1) <= most
+            if not good.all():
+                alive, row, begin, text, inside, patterns = alive[good], row[good], begin[good], text[good], inside[good], patterns[good]
+                if not len(alive):
+                    break
+    ends = low[alive][:, None] + at + m
+    row = np.where((ends >= first[alive][:, None]) & (ends <= end[alive][:, None]), row, far)
+    k = row.argmin(axis=1)
+    line = np.arange(len(alive))
+    edits = row[line, k]
+    good = edits <= most
+    return alive[good], edits[good], (low[alive] + begin[line, k])[good], ends[line, k][good]
+
+
+def aligned(pattern: np.ndarray, text: np.ndarray, low: int, high: int, most: int) -> tuple[int, int, int] | None:
+    """The best alignment of one pattern, on diagonals low..high (text minus pattern place): (edits, begin, end), or nothing."""
+    _, *got = align(pattern[None], text, np.array([low]), high - low + 1, np.array([0]), np.array([len(text)]), most)
+    return tuple(int(x[0]) for x in got) if len(got[0]) else None
 
 
 def find(index: Index, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
     """(text number, item number, begin, end, edits) of what the texts hold; the edits are those of the best fragment."""
-    if not len(index) or not texts:
+    if not index.ids or not texts:
         return []
     parts = [normalized(t) for t in texts]
     sizes = np.array([len(p[0]) for p in parts], np.int64)
     starts = np.concatenate([[0], np.cumsum(sizes + 1)])
     wall = np.array([0xFFFFFFFF], np.uint32)  # no character: no q-gram spans two texts
     chars = np.concatenate([x for p in parts for x in (p[0], wall)])
-    fragment, diagonal = index.hits(grams(chars, index.q))
     found: dict[tuple[int, int], list[int]] = {}
-    for f, low, high in index.regions(fragment, diagonal):
-        k = int(index.budget[f])
-        middle = min(max(0, low + int(index.size[f]) // 2), len(chars) - 1)
-        doc = int(np.searchsorted(starts, middle, side="right")) - 1
-        text, base = parts[doc][0], int(starts[doc])
-        o, b, m = int(index.owner[f]), int(index.begin[f]), int(index.size[f])
-        got = aligned(index.chars[o][b : b + m], text, low - base - k, high - base + k, k)
-        if got:
-            edits, begin, end = got
+
+    def note(docs: np.ndarray, owners: np.ndarray, begins: np.ndarray, ends: np.ndarray, edits: np.ndarray) -> None:
+        for doc, o, begin, end, e in zip(docs.tolist(), owners.tolist(), (begins - starts[docs]).tolist(), (ends - starts[docs]).tolist(), edits.tolist(), strict=True):
             where = parts[doc][1]
             span = (int(where[min(max(begin, 0), len(where) - 1)]), int(where[min(max(end - 1, 0), len(where) - 1)]) + 1)
-            old = found.setdefault((doc, o), [*span, edits])
-            found[doc, o] = [min(old[0], span[0]), max(old[1], span[1]), min(old[2], edits)]
+            old = found.setdefault((doc, o), [*span, e])
+            found[doc, o] = [min(old[0], span[0]), max(old[1], span[1]), min(old[2], e)]
+
+    fragment, low = index.regions(*index.hits(grams(chars, index.q)))
+    doc = np.searchsorted(starts, np.clip(low + index.size[fragment] // 2, 0, len(chars) - 1), side="right") - 1
+    for m in np.unique(index.size[fragment]).tolist():
+        those = np.flatnonzero(index.size[fragment] == m)
+        for cut in range(0, len(those), _TOGETHER):
+            t = those[cut : cut + _TOGETHER]
+            f, d = fragment[t], doc[t]
+            k = int(index.budget[f[0]])
+            patterns = np.stack([index.chars[o][b : b + m] for o, b in zip(index.owner[f].tolist(), index.begin[f].tolist(), strict=True)])
+            at, edits, begin, end = align(patterns, chars, low[t] - k, 2 * (k + 1) + 2 * k + 1, starts[d], starts[d] + sizes[d], k)
+            note(d[at], index.owner[f][at], begin, end, edits)
     return [(d, o, *rest) for (d, o), rest in sorted(found.items())]
 
 

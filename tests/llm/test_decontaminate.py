@@ -73,6 +73,16 @@ def test_filter_finds_what_brute_force_finds():
             assert near == ((d, o) in got)
 
 
+@pytest.mark.parametrize("length", [32, 40, 64, 92, 110, 130])
+def test_excerpts_are_found_at_all_offsets(length):
+    rng = random.Random(length)
+    item, clean = words(70, rng)[:300].strip(), words(30, rng)
+    excerpts = [item[k : k + length] for k in range(len(item) - length + 1)]
+    excerpts = [x for x in excerpts if x == x.strip()]
+    got = find(Index([(1, item)]), [f"{clean} # {x} # {clean}" for x in excerpts] + [clean])
+    assert [d for d, *_ in got] == list(range(len(excerpts)))
+
+
 PASSAGE = words(40)
 
 
