@@ -10,13 +10,16 @@ fragment against that stretch of the text.
 Texts are compared in lower case with runs of white space as one space; reported places are code points of
 the text as it is. Benchmarks are taken in blocks of bounded size, one pass over the documents for each.
 
-Defined results: null texts and null benchmark texts match nothing, nor do benchmark texts shorter than
-``least`` characters. One row for each document row and benchmark row that match; rows that repeat are
+Benchmark texts shorter than ``least`` characters are looked up exactly: a hash of their compared characters
+against those of stretches of the same length between word boundaries.
+
+Defined results: null texts, null benchmark texts and those of white space alone match nothing. One row for each document row and benchmark row that match; rows that repeat are
 reported as often. Empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable, Iterator
 from functools import reduce
 from typing import Any
@@ -52,6 +55,19 @@ def _small_letters() -> np.ndarray:
 _LOWER = _small_letters()
 
 
+def _word_letters() -> np.ndarray:
+    """Per character of the basic plane whether words of its script stand apart, so that a neighbour of the kind belongs to its word."""
+    out = np.zeros(1 << 16, bool)
+    for c in range(1 << 16):
+        out[c] = chr(c).isalnum() or unicodedata.category(chr(c)).startswith("M")
+    for low, high in ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0xA4CF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F)):
+        out[low : high + 1] = False  # written without spaces: a boundary anywhere
+    return out
+
+
+_WORD = _word_letters()
+
+
 def normalized(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Compared characters, and where each stands in the text."""
     raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -77,16 +93,30 @@ def grams(chars: np.ndarray, q: int = Q) -> np.ndarray:
     return out
 
 
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _rolled(chars: np.ndarray) -> np.uint64:
+    out = np.zeros(1, np.uint64)
+    for c in chars.astype(np.uint64):
+        out = out * _FACTOR + c
+    return out[0]
+
+
 class Index:
     """The fragments of a block of benchmark texts and their q-grams. A q-gram's postings are places in texts; the fragments around a place are computed."""
 
     def __init__(self, items: list[tuple[Any, str]], q: int = Q, fragment: int = FRAGMENT, rate: float = RATE, least: int = LEAST) -> None:
         self.q, self.ids, self.chars = q, [], []
         length, stride, last = [], [], []
+        brief: dict[int, dict[int, list[int]]] = {}
+        late = []
         for item_id, text in items:
             chars = normalized(text.strip())[0]
             m = len(chars)
             if m < max(least, q):
+                if m:
+                    late.append((item_id, chars))
                 continue
             self.ids.append(item_id)
             self.chars.append(chars)
@@ -113,9 +143,41 @@ class Index:
         self.seen = np.zeros(1 << _FILTER_BITS, bool)
         self.seen[self.grams >> np.uint64(64 - _FILTER_BITS)] = True
 
+        for item_id, chars in late:
+            brief.setdefault(len(chars), {}).setdefault(int(_rolled(chars)), []).append(len(self.ids))
+            self.ids.append(item_id)
+            self.chars.append(chars)
+        self.brief = {m: (np.array(sorted(x), np.uint64), [x[h] for h in sorted(x)]) for m, x in sorted(brief.items())}
+        self.heads = np.unique(np.array([x[0] for _, x in late], np.uint32))
+
     def __len__(self) -> int:
         return len(self.owner)
 
+    def exact(self, chars: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Short benchmark texts with the places where they stand between word boundaries."""
+        if not self.brief:
+            return
+        most = max(self.brief)
+        word = np.where(chars < 1 << 16, _WORD[np.minimum(chars, (1 << 16) - 1)], False)
+        edge = np.concatenate([[True], ~(word[1:] & word[:-1]), np.ones(most + 1, bool)])
+        wide = np.concatenate([chars, np.full(most, 0xFFFFFFFF, np.uint32)])
+        at = np.flatnonzero(edge[: len(chars)])
+        at = at[np.isin(chars[at], self.heads)]
+        hashed = np.zeros(len(at), np.uint64)
+        for m in range(1, most + 1):
+            hashed = hashed * _FACTOR + wide[at + m - 1]
+            if m not in self.brief:
+                continue
+            keys, owners = self.brief[m]
+            k = np.minimum(np.searchsorted(keys, hashed), len(keys) - 1)
+            same = np.flatnonzero((keys[k] == hashed) & edge[at + m])
+            order = np.argsort(k[same], kind="stable")
+            which, first = np.unique(k[same][order], return_index=True)
+            for key, places in zip(which.tolist(), np.split(at[same][order], first[1:]), strict=bool(len(which))):
+                stretches = wide[places[:, None] + np.arange(m)]
+                for o in owners[key]:
+                    yield o, places[(stretches == self.chars[o]).all(axis=1)]
+
     def hits(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Fragment and diagonal of every q-gram that text and fragments share."""
         at = np.flatnonzero(self.seen[found >> np.uint64(64 - _FILTER_BITS)])
@@ -224,6 +286,11 @@ def find(index: Index, texts: list[str]) -> list[tuple[int, int, int, int, int]]
             patterns = np.stack([index.chars[o][b : b + m] for o, b in zip(index.owner[f].tolist(), index.begin[f].tolist(), strict=True)])
             at, edits, begin, end = align(patterns, chars, low[t] - k, 2 * (k + 1) + 2 * k + 1, starts[d], starts[d] + sizes[d], k)
             note(d[at], index.owner[f][at], begin, end, edits)
+    for o, places in index.exact(chars):
+        if len(places):
+            texts_of = np.searchsorted(starts, places, side="right") - 1
+            for side in (np.unique(texts_of, return_index=True)[1], len(places) - 1 - np.unique(texts_of[::-1], return_index=True)[1]):
+                note(texts_of[side], np.full(len(side), o), places[side], places[side] + len(index.chars[o]), np.zeros(len(side), np.int64))
     return [(d, o, *rest) for (d, o), rest in sorted(found.items())]
 
 

@@ -83,6 +83,14 @@ def test_excerpts_are_found_at_all_offsets(length):
     assert [d for d, *_ in got] == list(range(len(excerpts)))
 
 
+def test_short_items_are_looked_up_exactly():
+    index = Index([(1, " What is  it?"), (2, "ab"), (3, ""), (4, "ab"), (5, words(30)), (6, "你好"), (7, " \n")])
+    texts = ["what\nIS it?", "so: What is it?!", "what is it", "somewhat is it?", "cab abc a b", "x (AB) ab.", "我你好吗", "ab", ""]
+    got = sorted((d, index.ids[o], a, b, e) for d, o, a, b, e in find(index, texts))
+    assert got == [(0, 1, 0, 11, 0), (1, 1, 4, 15, 0), (5, 2, 3, 9, 0), (5, 4, 3, 9, 0), (6, 6, 1, 3, 0), (7, 2, 0, 2, 0), (7, 4, 0, 2, 0)]
+    assert [d for d, *_ in find(Index([(1, "ab")]), texts)] == [5, 7]
+
+
 PASSAGE = words(40)
 
 
