@@ -8,6 +8,12 @@ documents of a source, shuffled by a hash of their id, form a stream cut into bl
 ranked r takes block r mod the source's number of blocks. A document's taken words are the overlaps of its
 stretch of the stream with its blocks, times their uses.
 
+Blocks of more than one word miss a target by up to a block, and a short last block counts as a whole one, so
+small sources of a large corpus stray far from their targets. ``settle`` then settles each source's remainder
+in words: its slots take the stream from its start and round again, so a source whose target is t words in
+all takes its stream t div size times and the first t mod size words once more. Blocks of one word leave no
+remainder. The pipeline settles; ``mix_sources`` by default, as its SQL, doesn't.
+
 All counts are integers and the order is total, so reruns agree. Running sums go by (source, hash prefix) and
 then over prefixes, so a source with most of the rows is no single task. The number of slots is a parameter,
 not a function of the input: more words make longer blocks.
@@ -68,7 +74,7 @@ def schedule(spark: SparkSession, plan: DataFrame, slots: int, repeats: int = 3)
     return ranked.filter(F.col("rank") < repeats * F.col("blocks")).groupBy("number", (F.col("rank") % F.col("blocks")).alias("block")).agg(F.count(F.lit(1)).alias("uses"))
 
 
-def mix_sources(spark: SparkSession, docs: DataFrame, slots: int = 1 << 18, repeats: int = 3) -> DataFrame:
+def mix_sources(spark: SparkSession, docs: DataFrame, slots: int = 1 << 18, repeats: int = 3, settle: bool = False) -> DataFrame:
     """One row per input row: doc_id, size, source_size, target, taken, source."""
     if not 0 < slots <= 1 << 30:
         raise ValueError("slots must lie between 1 and 2^30")
@@ -89,6 +95,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, slots: int = 1 << 18, repe
     rows = rows.join(heads.select("number", "prefix", before.alias("before")), ["number", "prefix"]).withColumn("start", F.col("before") + F.col("within")).drop("before", "within", "key", "prefix", "total")
     rows.withColumn("row", F.monotonically_increasing_id()).write.parquet(f"{folder}/streams")
     rows = spark.read.parquet(f"{folder}/streams")
+    if settle and plan.filter(block_length(F.col("total"), slots) > 1).limit(1).count():
+        wanted = F.round("target").cast("long")
+        more = F.greatest(F.lit(0), F.least(F.col("size"), F.pmod(wanted, F.col("source_size")) - F.col("start")))
+        settled = F.when(F.col("size") > 0, F.floor(wanted / F.col("source_size")) * F.col("size") + more).otherwise(0)
+        return rows.select("doc_id", "size", "source_size", "target", settled.cast("long").alias("taken"), "source")
     touched = rows.filter("size > 0").select("row", "number", "start", "size", "length", F.explode(F.sequence(F.floor(F.col("start") / F.col("length")), F.floor((F.col("start") + F.col("size") - 1) / F.col("length")))).alias("block"))
     overlap = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * F.col("length")) - F.greatest("start", F.col("block") * F.col("length"))
     taken = touched.join(schedule(spark, plan, slots, repeats), ["number", "block"]).groupBy("row").agg(F.sum(overlap * F.col("uses")).alias("taken"))
@@ -98,7 +109,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, slots: int = 1 << 18, repe
 def apply_mix(spark: SparkSession, docs: DataFrame, slots: int = 1 << 18, repeats: int = 3) -> DataFrame:
     """The rows, with all their columns, as often as the mix takes them whole (a half counts as whole)."""
     names = docs.columns
-    mixed = mix_sources(spark, docs, slots, repeats).filter("taken > 0")
+    mixed = mix_sources(spark, docs, slots, repeats, settle=True).filter("taken > 0")
     copies = mixed.groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size")).agg(F.max("taken").alias("__taken"))
     sized = docs.withColumn("__words", F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long"))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size"))

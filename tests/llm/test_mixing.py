@@ -99,6 +99,21 @@ def test_applied_mix(spark, make_docs, rows):
             assert counts[r.doc_id, r.source] == (int(r.taken / r.size + 0.5) if r.size else 0)
 
 
+def test_tiny_sources_beside_long_blocks_meet_their_targets(spark, make_docs):
+    rng = random.Random(3)
+    many = [(k, " ".join(["w"] * rng.randint(20, 60)), "big") for k in range(300)]
+    tiny = [(1000 + 10 * s + k, "w " * (s + 2), f"tiny{s}") for s in range(6) for k in range(4)]
+    docs = make_docs([*many, *tiny])
+    taken, target = Counter(), {}
+    for r in mix_sources(spark, docs, slots=16, settle=True).collect():
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+        assert 0 <= r.taken <= 3 * r.size
+    assert all(abs(taken[s] - t) <= 0.5 for s, t in target.items()) and len(target) == 7
+    counts = Counter(r.doc_id for r in apply_mix(spark, docs, slots=16).collect())
+    assert all(counts[r[0]] == 3 for r in tiny)
+
+
 def test_empty_tables(spark, make_docs):
     assert mix_sources(spark, make_docs([])).collect() == []
     assert apply_mix(spark, make_docs([])).collect() == []
