@@ -2,12 +2,13 @@
 
 Documents with one set of word n-grams form a class; classes are joined, copies are counted. Candidates are
 classes that agree on a band of MinHash values; with 42 bands of 6 a pair at the threshold of 0.8 is missed
-with a chance of about 3 in a million. Bands link classes into groups, groups are cut into blocks, and a task takes
+with a chance of about 3 in a million. Bands link classes into groups (one edge from a class to the smallest
+of its hubs, and those between hubs), groups are cut into blocks bounded in classes and bytes, and a task takes
 two blocks that share a band bucket: for each candidate pair it compares MinHash values a slice at a time
 and drops the pair as soon as the posterior probability (uniform prior) that its similarity reaches the
 threshold is below the tolerance; the rest is verified on the exact n-gram sets. Tasks return counts per
 class and a spanning forest of their links, never pairs, so a group of many near copies costs time but no
-quadratic output.
+quadratic output. Bands, groups and labels of many classes are met under salted keys.
 
 Defined results: a null text counts as empty. Texts with fewer words than n have one n-gram, all their words;
 texts without words are copies of each other. n_links counts the other documents at or above the threshold,
@@ -31,7 +32,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keystrata.llm.components import components
-from keystrata.llm.text import returning, slices, spread, text_or_empty
+from keystrata.llm.skew import each_salt, meet, salt_bits, salt_of
+from keystrata.llm.text import free_names, returning, slices, spread, text_or_empty
 from keystrata.sources.shared import fresh_folder
 
 WORDS = 5
@@ -40,7 +42,9 @@ BANDS, ROWS = 42, 6
 HASHES = BANDS * ROWS
 SLICE = 28
 TOLERANCE = 1e-9
-BLOCK = 512
+#: A block holds about so many classes and bytes of n-grams at most; a longer text stands in one with others.
+BLOCK = 256
+BLOCK_BYTES = 8 << 20
 
 _RANDOM = np.random.default_rng(20240229)
 _A = _RANDOM.integers(1, 1 << 32, HASHES, np.uint64).astype(np.uint32) | np.uint32(1)
@@ -128,7 +132,7 @@ def _set_key(shingles: np.ndarray) -> bytes:
 
 
 def _described(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """doc_id, text -> doc_id, key of the n-gram set, band keys (none for a text without words)."""
+    """doc_id, text -> doc_id, key of the n-gram set, number of n-grams, band keys (none for a text without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(n)
@@ -138,7 +142,7 @@ def _described(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
             bands = band_keys(np.array([signature(x) for x in found if len(x)], np.uint32).reshape(-1, HASHES))
             at = np.concatenate([[0], np.cumsum(full) * BANDS]).astype(np.int32)
             arrays = pa.ListArray.from_arrays(pa.array(at), pa.array(bands.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(_set_key, found), pa.binary()), arrays], names=["doc_id", "set_key", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(_set_key, found), pa.binary()), pa.array(map(len, found), pa.int64()), arrays], names=["doc_id", "set_key", "grams", "bands"])
 
     return run
 
@@ -234,18 +238,22 @@ def _grouped(spark: SparkSession, docs: DataFrame, n: int, threshold: float) ->
         df.write.parquet(f"{folder}/{name}")
         return spark.read.parquet(f"{folder}/{name}")
 
-    found = kept(docs.mapInArrow(returning(_described(n)), "doc_id long, set_key binary, bands array<long>"), "documents")
+    found = kept(docs.mapInArrow(returning(_described(n)), "doc_id long, set_key binary, grams long, bands array<long>"), "documents")
     # Copies fold before the shuffle; one of their equal band lists goes on.
-    classes = found.groupBy("set_key").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("size"), F.first("bands").alias("bands"))
+    classes = found.groupBy("set_key").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("size"), F.first("grams").alias("grams"), F.first("bands").alias("bands"))
     classes = kept(classes.select(F.monotonically_increasing_id().alias("cid"), "*"), "classes")
     banded = classes.select("cid", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.min("cid").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    shared = kept(banded.join(buckets, "band"), "shared")
-    together = components(spark, shared.select(F.col("hub").alias("a"), F.col("cid").alias("b")).filter("a <> b"))
-    members = together.groupBy("label").agg(F.count(F.lit(1)).alias("members"))
+    buckets = banded.groupBy("band").agg(F.min("cid").alias("hub"), F.count(F.lit(1)).alias("n"), salt_bits("cid").alias("salts")).filter("n > 1")
+    hubs = buckets.select(F.col("band").alias("hub_band"), "hub", each_salt("salts").alias("hub_salt"))
+    shared = kept(banded.join(hubs, (F.col("band") == F.col("hub_band")) & (salt_of("cid") == F.col("hub_salt"))).select("cid", "band", "hub"), "shared")
+    # The smallest of a class's hubs stands for all of them: one edge for the class, and edges between hubs, which repeat.
+    met = shared.groupBy("cid").agg(F.min("hub").alias("a"), F.collect_set("hub").alias("hubs"))
+    edges = met.select("a", F.explode(F.array_append("hubs", F.col("cid"))).alias("b")).filter("a <> b").distinct()
+    together = components(spark, edges).withColumnRenamed("node", "cid").join(classes.select("cid", "grams"), "cid")
+    members = together.groupBy("label").agg(F.count(F.lit(1)).alias("members"), (F.sum("grams") * 8).alias("bytes"))
     # Blocks of about equal size: by a hash within the group, as many as its size asks for.
-    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / BLOCK))
-    blocks = kept(together.join(members, "label").select(F.col("node").alias("cid"), F.xxhash64("label", part).alias("block")), "blocks")
+    part = F.pmod(F.xxhash64("cid"), F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)))
+    blocks = kept(meet(together, members, "label", "cid").select("cid", F.xxhash64("label", part).alias("block")), "blocks")
     meeting = shared.join(blocks, "cid").groupBy("band").agg(F.collect_set("block").alias("own"))
     tasks = meeting.select(F.explode("own").alias("low"), "own").select("low", F.explode(F.filter("own", lambda x: x >= F.col("low"))).alias("high")).distinct()
     wanted = kept(blocks.join(classes.drop("bands"), "cid"), "wanted")
@@ -261,7 +269,7 @@ def _grouped(spark: SparkSession, docs: DataFrame, n: int, threshold: float) ->
     named = named.withColumn("label", F.coalesce("label", "cid"))
     best = F.struct(F.col("first_id").isNull().alias("no_id"), F.col("first_id").alias("id"), F.col("cid").alias("cid"))
     groups = named.groupBy("label").agg(F.min(best).alias("best"))
-    result = named.join(groups, "label").select("set_key", "first_id", F.col("best.id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), "size", (F.col("best.cid") == F.col("cid")).alias("keeper"))
+    result = meet(named, groups, "label", "cid").select("set_key", "first_id", F.col("best.id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), "size", (F.col("best.cid") == F.col("cid")).alias("keeper"))
     return found.select("doc_id", "set_key"), result
 
 
@@ -286,15 +294,16 @@ def jaccard_links(spark: SparkSession, docs: DataFrame, n: int = WORDS, threshol
 def keep_one(spark: SparkSession, docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """The rows, with all their columns, that stay: of each group the one with the smallest id, once."""
     _, classes = _grouped(spark, _plain(docs, "doc_id", "text"), n, threshold)
-    stay = classes.filter("keeper").select(F.col("set_key").alias("__key"), F.coalesce("first_id", F.lit(-(2**63))).alias("__id"))
     names, text_at = docs.columns, docs.columns.index("text")
+    key, own_id = free_names(names, "key", "id")
+    stay = classes.filter("keeper").select(F.col("set_key").alias(key), F.coalesce("first_id", F.lit(-(2**63))).alias(own_id))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(n)
         for batch in slices(batches, "text"):
             keys = [_set_key(shingler.shingles(t or "")) for t in batch.column(text_at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], names=[*names, "__key"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], names=[*names, key])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("__key", T.BinaryType())])
-    rows = docs.mapInArrow(returning(keyed), schema).withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))))
-    return rows.join(stay, ["__key", "__id"], "left_semi").dropDuplicates(["__key", "__id"]).select(*names)
+    schema = T.StructType([*docs.schema.fields, T.StructField(key, T.BinaryType())])
+    rows = docs.mapInArrow(returning(keyed), schema).withColumn(own_id, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))))
+    return rows.join(stay, [key, own_id], "left_semi").dropDuplicates([key, own_id]).select(*names)

@@ -20,6 +20,18 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """Names for columns beside the taken ones, whatever those are (Spark compares names without case)."""
+    used = {x.lower() for x in taken}
+    out = []
+    for name in wanted:
+        while name.lower() in used:
+            name = f"{name}_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
