@@ -2,8 +2,13 @@
 
 Rows are dealt by length and content hash; a task inserts every whole byte string into a compressed radix
 trie whose terminal nodes keep the owner of the text. Before the shuffle each map task folds its own copies
-through such a trie, so a text that a third of all rows share crosses once per map batch. A trie beyond its
-budget moves its heaviest subtree to a local temporary file, which is merged on its own at the end.
+through such a trie, so a text that a third of all rows share crosses once per map batch.
+
+A trie beyond its budget moves subtrees below one node to a temporary file until it weighs half of it, so it
+never weighs more than the budget and one key. Later keys that lead there go to the file as well; each file is
+merged at the end in a trie of its own, which spills on in the same way: fewer of a node's subtrees, or deeper
+ones, until a file holds a single key. Such a file is task-local scratch space like a sort's: it
+lives and dies with its task, and a retried task writes its own.
 
 Defined results: a null text counts as empty; equal means equal bytes. A row with a null id belongs to its
 group but owns it only if the group has no other id (then keep_id is null). Rows that repeat an id and a
@@ -31,14 +36,15 @@ NODE_BYTES = 240
 
 
 class _Node:
-    """An edge label with what lies below; ``spill`` is set where the subtree went to a file."""
+    """An edge label with what lies below. ``spill`` is set where the subtree went to a file, ``holed`` where one below did."""
 
-    __slots__ = ("children", "label", "payload", "spill", "weight")
+    __slots__ = ("children", "holed", "label", "payload", "spill", "weight")
 
     def __init__(self, label: bytes, payload: Any = None) -> None:
         self.label, self.payload = label, payload
         self.children: dict[int, _Node] = {}
         self.spill: Any = None
+        self.holed = False
         self.weight = len(label) + NODE_BYTES
 
 
@@ -67,9 +73,6 @@ class Patricia:
         node, at, path = self.root, 0, [self.root]
         added = 0
         while True:
-            if node.spill is not None:
-                _record(node.spill, key[at:], payload)
-                return
             if at == len(key):
                 node.payload = payload if node.payload is None else self.merge(node.payload, payload)
                 break
@@ -78,12 +81,15 @@ class Patricia:
                 child = node.children[key[at]] = _Node(key[at:], payload)
                 added += child.weight
                 break
+            if child.spill is not None:
+                _record(child.spill, key[at:], payload)
+                break
             label = child.label
             rest = key[at : at + len(label)]
             if rest != label:
                 cut = _common(rest, label)
                 upper = _Node(label[:cut])
-                upper.weight = child.weight + NODE_BYTES
+                upper.weight, upper.holed = child.weight + NODE_BYTES, child.holed
                 child.label = label[cut:]
                 child.weight -= cut
                 upper.children[child.label[0]] = child
@@ -94,71 +100,83 @@ class Patricia:
                 continue
             node, at = child, at + len(label)
             path.append(child)
-        for x in path:
-            x.weight += added
-        if self.root.weight > self.budget:
-            self._spill()
+        if added:
+            for x in path:
+                x.weight += added
+            if self.root.weight > self.budget:
+                self._spill()
 
     def _spill(self) -> None:
-        """Moves the heaviest subtree below the first real branching out, if it is worth a file."""
-        node, target = self.root, None
-        while inner := [c for c in node.children.values() if c.children and c.spill is None]:
-            heavy = max(inner, key=lambda c: c.weight)
-            if heavy.weight * 8 < self.budget:
-                break
-            target = heavy
-            if heavy.weight * 2 < node.weight:
-                break
-            node = heavy
-        if target is None:
-            self.budget += self.budget // 4  # nothing to move: long single strings
-            return
-        spill = tempfile.TemporaryFile()
-        for suffix, payload in _walk(target, skip_label=True):
-            _record(spill, suffix, payload)
-        lost = target.weight - NODE_BYTES
-        target.children, target.payload, target.spill = {}, None, spill
-        self._lighten(self.root, target, lost)
-
-    def _lighten(self, node: _Node, target: _Node, lost: int) -> bool:
-        if node is target or any(self._lighten(c, target, lost) for c in node.children.values() if c.weight >= lost):
-            node.weight -= lost
-            return True
-        return False
+        """Moves subtrees out until half of the budget is free, or there is nothing left to move."""
+        goal = self.budget // 2
+        while self.root.weight > goal:
+            node, path = self.root, [self.root]
+            while True:
+                # Whole subtrees first: one with a hole would have to read the hole's file back.
+                live = sorted((c for c in node.children.values() if c.spill is None), key=lambda c: (c.holed, -c.weight))
+                heavy = max(live, key=lambda c: c.weight, default=None)
+                if heavy is None or heavy.weight * 8 < self.budget or all(c.spill is not None for c in heavy.children.values()):
+                    break
+                node = heavy
+                path.append(node)
+            if not live or (len(path) == 1 and len(node.children) == 1):
+                return  # a single key is left, or what all keys begin with
+            # A file below the root holds fewer subtrees than its trie, so files of files come to an end.
+            most = len(live) - (len(path) == 1 and len(live) == len(node.children))
+            stub, excess = _Node(b""), self.root.weight - goal
+            spill = stub.spill = tempfile.TemporaryFile()
+            lost = -stub.weight
+            for c in live[:most]:
+                if lost >= excess:
+                    break
+                for suffix, payload in _walk(c):
+                    _record(spill, suffix, payload)
+                lost += c.weight
+                node.children[c.label[0]] = stub
+            for x in path:
+                x.weight -= lost
+                x.holed = True
 
     def items(self) -> Iterator[tuple[bytes, Any]]:
-        yield from self._items(self.root, b"")
-
-    def _items(self, top: _Node, prefix: bytes) -> Iterator[tuple[bytes, Any]]:
-        stack = [(top, prefix)]
-        while stack:
-            node, before = stack.pop()
-            key = before + node.label
-            if node.spill is not None:
+        """Every key with its payload; the trie is empty afterwards. One trie at a time is in memory."""
+        waiting: list[tuple[bytes, Any]] = [(b"", None)]
+        while waiting:
+            before, spill = waiting.pop()
+            if spill is None:
+                top, self.root = self.root, _Node(b"")
+            else:
                 below = Patricia(self.merge, self.budget)
-                for suffix, payload in _records(node.spill):
+                for suffix, payload in _records(spill):
                     below.insert(suffix, payload)
-                node.spill.close()
-                yield from ((key + suffix, payload) for suffix, payload in below.items())
-                continue
-            if node.payload is not None:
-                yield key, node.payload
-            stack += [(c, key) for c in node.children.values()]
-
-
-def _walk(top: _Node, skip_label: bool = False) -> Iterator[tuple[bytes, Any]]:
-    stack = [(top, b"", skip_label)]
+                spill.close()
+                top = below.root
+            stack = [(top, before)]
+            del top
+            while stack:
+                node, before = stack.pop()
+                key = before + node.label
+                if node.payload is not None:
+                    yield key, node.payload
+                waiting += [(key, x) for x in _files(node)]
+                stack += [(c, key) for c in node.children.values() if c.spill is None]
+
+
+def _files(node: _Node) -> list[Any]:
+    return list({id(c.spill): c.spill for c in node.children.values() if c.spill is not None}.values())
+
+
+def _walk(top: _Node) -> Iterator[tuple[bytes, Any]]:
+    """The keys of a subtree from its label on; files below it are read back and closed."""
+    stack = [(top, b"")]
     while stack:
-        node, before, skip = stack.pop()
-        key = before if skip else before + node.label
-        if node.spill is not None:
-            for suffix, payload in _records(node.spill):
-                yield key + suffix, payload
-            node.spill.close()
-            continue
+        node, before = stack.pop()
+        key = before + node.label
         if node.payload is not None:
             yield key, node.payload
-        stack += [(c, key, False) for c in node.children.values()]
+        for spill in _files(node):
+            yield from ((key + suffix, payload) for suffix, payload in _records(spill))
+            spill.close()
+        stack += [(c, key) for c in node.children.values() if c.spill is None]
 
 
 #: length, owner present, owner, count, salts
