@@ -7,6 +7,11 @@ neighbouring diagonals; shared q-grams are counted in diagonal bands twice that
 next by half, so one band sees them all. Bands that reach the bound are verified by a banded alignment of the
 fragment against that stretch of the text.
 
+Repetitive text adds no work: fragments of equal characters are searched once for all benchmark texts that have
+them, and where a text would hit the index often, only the first and the last of its equal stretches (and what
+lies within a band of them) are searched. A result names the first place, the last place and the least
+edits of a match, and equal stretches match alike, so it is the same. Hits are counted a bounded number at a time.
+
 Texts are compared in lower case with runs of white space as one space; reported places are code points of
 the text as it is. Benchmarks are taken in blocks of bounded size, one pass over the documents for each.
 
@@ -37,8 +42,9 @@ RATE = 0.08
 LEAST = 32
 BLOCK_BYTES = 4 << 20
 _FILTER_BITS = 22
-#: Fragments aligned at once.
+#: Fragments aligned at once, and hits counted at once.
 _TOGETHER = 2048
+_HITS = 4_000_000
 
 
 def _small_letters() -> np.ndarray:
@@ -133,13 +139,17 @@ class Index:
         self.begin = np.minimum(number * self.stride[self.owner], (sizes - self.length)[self.owner]).astype(np.int32)
         self.budget = np.minimum((rate * self.size).astype(np.int32), np.maximum(0, self.size // q - 1))
         self.need = self.size + 1 - q * (self.budget + 1)
+        self._share_equal_fragments()
         per = [grams(x, q) for x in self.chars]
         all_grams = np.concatenate(per) if per else np.zeros(0, np.uint64)
         owners = np.repeat(np.arange(len(per), dtype=np.int32), [len(x) for x in per])
         places = np.concatenate([np.arange(len(x), dtype=np.int32) for x in per]) if per else np.zeros(0, np.int32)
+        low, n = self._around(owners, places)
         order = np.argsort(all_grams, kind="stable")
-        self.owners, self.places = owners[order], places[order]
+        order = order[n[order] > 0]
+        self.low, self.n, self.places = low[order], n[order], places[order]
         self.grams, self.first, self.count = np.unique(all_grams[order], return_index=True, return_counts=True)
+        self.fragments = np.add.reduceat(self.n.astype(np.int64), self.first) if len(self.first) else np.zeros(0, np.int64)
         self.seen = np.zeros(1 << _FILTER_BITS, bool)
         self.seen[self.grams >> np.uint64(64 - _FILTER_BITS)] = True
 
@@ -153,6 +163,43 @@ class Index:
     def __len__(self) -> int:
         return len(self.owner)
 
+    def _share_equal_fragments(self) -> None:
+        """``distinct`` marks the first fragment of each content; ``sharers`` from ``share`` to the next one's are the texts that have it."""
+        n = len(self.owner)
+        joined = np.concatenate([*self.chars, np.zeros(1, np.uint32)])
+        at = np.cumsum([0, *map(len, self.chars)])[self.owner] + self.begin if n else np.zeros(0, np.int64)
+        hashed = self.size.astype(np.uint64)
+        longest = int(self.size.max(initial=0))
+        for k in range(longest):
+            inside = k < self.size
+            hashed = np.where(inside, hashed * _FACTOR + joined[np.minimum(at + k, len(joined) - 1)], hashed)
+        _, first, which = np.unique(hashed, return_index=True, return_inverse=True)
+        twin = first[which] if n else np.zeros(0, np.int64)
+        same = self.size[twin] == self.size
+        for k in range(longest):  # by their characters, whatever the hash says
+            same &= (k >= self.size) | (joined[np.minimum(at + k, len(joined) - 1)] == joined[np.minimum(at[twin] + k, len(joined) - 1)])
+        twin = np.where(same, twin, np.arange(n))
+        self.distinct = twin == np.arange(n)
+        pairs = np.unique(np.stack([twin, self.owner.astype(np.int64)], 1), axis=0) if n else np.zeros((0, 2), np.int64)
+        self.sharers = pairs[:, 1].astype(np.int32)
+        self.share = np.searchsorted(pairs[:, 0], np.arange(n + 1))
+
+    def _around(self, owner: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first distinct fragment that holds the q-gram at a place of a text, and how many fragments from there to the last."""
+        place = place.astype(np.int64)
+        length, stride, last = self.length[owner], self.stride[owner], self.last[owner]
+        end = np.array([len(x) for x in self.chars], np.int64)[owner] - length  # where the last fragment begins
+        low = np.minimum(-(-np.maximum(0, place + self.q - length) // stride), last) + self.base[owner]
+        high = np.where(place >= end, last, place // stride) + self.base[owner]
+        marked = np.flatnonzero(self.distinct)
+        if not len(marked):
+            return low.astype(np.int32), np.zeros(len(low), np.int32)
+        first, past = np.searchsorted(marked, low), np.searchsorted(marked, high, side="right")
+        some = past > first
+        low = np.where(some, marked[np.minimum(first, len(marked) - 1)], low)
+        high = np.where(some, marked[np.maximum(past - 1, 0)], low - 1)
+        return low.astype(np.int32), (high - low + 1).astype(np.int32)
+
     def exact(self, chars: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """Short benchmark texts with the places where they stand between word boundaries."""
         if not self.brief:
@@ -178,34 +225,71 @@ class Index:
                 for o in owners[key]:
                     yield o, places[(stretches == self.chars[o]).all(axis=1)]
 
-    def hits(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Fragment and diagonal of every q-gram that text and fragments share."""
+    def lookup(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of a text's q-grams that the index has, and which they are."""
         at = np.flatnonzero(self.seen[found >> np.uint64(64 - _FILTER_BITS)])
+        if not len(self.grams):
+            return at[:0], at[:0]
         k = np.minimum(np.searchsorted(self.grams, found[at]), len(self.grams) - 1)
         same = self.grams[k] == found[at]
-        at, k = at[same], k[same]
+        return at[same], k[same]
+
+    def hits(self, at: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Fragment and diagonal of every q-gram that text and distinct fragments share."""
         n = self.count[k]
         post = np.repeat(self.first[k] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        at, owner, place = np.repeat(at, n), self.owners[post], self.places[post].astype(np.int64)
-        length, stride, last = self.length[owner], self.stride[owner], self.last[owner]
-        end = np.array([len(x) for x in self.chars], np.int64)[owner] - length  # where the last fragment begins
-        low = np.minimum(-(-np.maximum(0, place + self.q - length) // stride), last)
-        n = np.maximum(0, np.where(place >= end, last, place // stride) - low + 1)
-        number = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        fragment = np.repeat(self.base[owner], n) + number
-        return fragment, np.repeat(at - place, n) + self.begin[fragment]
-
-    def regions(self, fragment: np.ndarray, diagonal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Fragments with the first diagonal of each band that reaches their bound."""
-        step = self.budget[fragment] + 1
-        band = diagonal // step
-        shift = np.int64(1) << np.int64(36)
-        keys = np.concatenate([fragment * shift + band, fragment * shift + band - 1]) + (shift >> np.int64(1))
-        key, n = np.unique(keys, return_counts=True)
-        f = key // shift
-        good = n >= self.need[f]
-        f, b = f[good], key[good] % shift - (shift >> np.int64(1))
-        return f, b * (self.budget[f] + 1)
+        at, low, n = np.repeat(at, n), self.low[post].astype(np.int64), self.n[post]
+        offset = at - self.places[post]
+        fragment = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        diagonal = np.repeat(offset, n) + self.begin[fragment]
+        kept = self.distinct[fragment]
+        return fragment[kept], diagonal[kept]
+
+    def regions(self, fragment: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
+        """Keys of fragments and bands that reach their bound."""
+        band = diagonal // (self.budget[fragment] + 1)
+        key, n = np.unique(np.concatenate([fragment * _SHIFT + band, fragment * _SHIFT + band - 1]) + _HALF, return_counts=True)
+        return key[n >= self.need[key // _SHIFT]]
+
+    def candidates(self, chars: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Fragments with the first diagonal of each band that reaches their bound, over texts that begin at ``starts``."""
+        at, k = self.lookup(grams(chars, self.q))
+        reach = int(self.size.max(initial=0) + 2 * (self.budget.max(initial=0) + 1) + self.q)  # no band's hits stretch further
+        if int(self.fragments[k].sum()) > 4 * len(chars):
+            kept = _unequal(chars, starts, reach)[at]
+            at, k = at[kept], k[kept]
+        load = np.cumsum(self.fragments[k])
+        parts, begin = [], 0
+        while begin < len(at):
+            end = max(begin + 1, int(np.searchsorted(load, load[begin] + _HITS)))
+            past = int(np.searchsorted(at, at[end - 1] + reach, side="right"))  # a band that begins here ends there
+            parts.append(self.regions(*self.hits(at[begin:past], k[begin:past])))
+            begin = end
+        key = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
+        fragment = key // _SHIFT
+        return fragment, (key % _SHIFT - _HALF) * (self.budget[fragment] + 1)
+
+
+#: A fragment and a band of diagonals as one number.
+_SHIFT = np.int64(1) << np.int64(36)
+_HALF = _SHIFT >> np.int64(1)
+
+
+def _unequal(chars: np.ndarray, starts: np.ndarray, reach: int) -> np.ndarray:
+    """The places within or near the first and the last stretch of each content in each text; stretches are ``reach`` characters."""
+    n = len(chars)
+    wide = np.concatenate([chars, np.full(reach, 0xFFFFFFFF, np.uint32)]).astype(np.uint64)
+    hashed = np.searchsorted(starts, np.arange(n), side="right").astype(np.uint64)
+    for k in range(reach):
+        hashed = hashed * _FACTOR + wide[k : k + n]
+    hashed ^= hashed >> np.uint64(31)
+    order = np.argsort(hashed, kind="stable")
+    new = np.concatenate([[True], hashed[order][1:] != hashed[order][:-1]])
+    edge = np.zeros(n + 1, np.int64)
+    for x in (order[new], order[np.concatenate([new[1:], [True]])]):  # a stretch and as much before and after it
+        np.add.at(edge, np.maximum(x - reach, 0), 1)
+        np.add.at(edge, np.minimum(x + 2 * reach, n), -1)
+    return np.cumsum(edge[:-1]) > 0
 
 
 def align(patterns: np.ndarray, chars: np.ndarray, low: np.ndarray, width: int, first: np.ndarray, end: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -275,7 +359,7 @@ def find(index: Index, texts: list[str]) -> list[tuple[int, int, int, int, int]]
             old = found.setdefault((doc, o), [*span, e])
             found[doc, o] = [min(old[0], span[0]), max(old[1], span[1]), min(old[2], e)]
 
-    fragment, low = index.regions(*index.hits(grams(chars, index.q)))
+    fragment, low = index.candidates(chars, starts[:-1])
     doc = np.searchsorted(starts, np.clip(low + index.size[fragment] // 2, 0, len(chars) - 1), side="right") - 1
     for m in np.unique(index.size[fragment]).tolist():
         those = np.flatnonzero(index.size[fragment] == m)
@@ -285,7 +369,9 @@ def find(index: Index, texts: list[str]) -> list[tuple[int, int, int, int, int]]
             k = int(index.budget[f[0]])
             patterns = np.stack([index.chars[o][b : b + m] for o, b in zip(index.owner[f].tolist(), index.begin[f].tolist(), strict=True)])
             at, edits, begin, end = align(patterns, chars, low[t] - k, 2 * (k + 1) + 2 * k + 1, starts[d], starts[d] + sizes[d], k)
-            note(d[at], index.owner[f][at], begin, end, edits)
+            first, n = index.share[f[at]], np.diff(index.share)[f[at]]
+            owners = index.sharers[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+            note(np.repeat(d[at], n), owners, np.repeat(begin, n), np.repeat(end, n), np.repeat(edits, n))
     for o, places in index.exact(chars):
         if len(places):
             texts_of = np.searchsorted(starts, places, side="right") - 1

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -30,13 +31,13 @@ def edit(text, k, rng=RNG):
 
 def distance_inside(pattern, text):
     """Brute force: fewest edits between the pattern and any stretch of the text."""
-    row = [0] * (len(text) + 1)
+    chars = np.array([ord(c) for c in text], np.int64)
+    at = np.arange(len(text) + 1)
+    row = np.zeros(len(text) + 1, np.int64)
     for i, c in enumerate(pattern, 1):
-        new = [i]
-        for j, d in enumerate(text, 1):
-            new.append(min(row[j - 1] + (c != d), row[j] + 1, new[j - 1] + 1))
-        row = new
-    return min(row)
+        new = np.concatenate([[i], np.minimum(row[:-1] + (chars != ord(c)), row[1:] + 1)])
+        row = np.minimum.accumulate(new - at) + at
+    return int(row.min())
 
 
 def plain(text):
@@ -91,6 +92,48 @@ def test_short_items_are_looked_up_exactly():
     assert [d for d, *_ in find(Index([(1, "ab")]), texts)] == [5, 7]
 
 
+def rules(rng):
+    """Texts that repeat themselves: rules, tables, lines over and over, with something else now and then."""
+    unit = rng.choice(["-", "- ", "=-", "+---", "-" * 40 + "\n", "| a | b |\n", "ab " * 9 + "c\n"])
+    text = unit * rng.randint(1, 400 // len(unit))
+    at = rng.randrange(len(text))
+    return rng.choice([text, text, text[:at] + rng.choice(["#", words(3, rng)]) + text[at:], text + words(9, rng) + text])
+
+
+def test_repetitive_texts_give_the_same_matches():
+    rng = random.Random(5)
+    for _ in range(4):
+        items, texts = [(k, rules(rng)) for k in range(6)], [rules(rng) for _ in range(8)]
+        index = Index(items)
+        got = {(d, index.ids[o]): rest for d, o, *rest in find(index, texts)}
+        assert got == {(d, k): rest for k, item in items for d, _, *rest in find(Index([(k, item)]), texts)}
+        for d, text in enumerate(texts):
+            for o, b, m, k in zip(index.owner.tolist(), index.begin.tolist(), index.size.tolist(), index.budget.tolist(), strict=True):
+                if distance_inside("".join(map(chr, index.chars[o][b : b + m])), plain(text)) <= k:
+                    assert (d, index.ids[o]) in got
+
+
+def test_equal_stretches_are_searched_at_their_first_and_last_place(monkeypatch):
+    rng = random.Random(6)
+    for _ in range(30):
+        index, texts = Index([(k, rules(rng)) for k in range(4)]), [rules(rng) for _ in range(5)]
+        got = find(index, texts)
+        with monkeypatch.context() as m:
+            m.setattr("keystrata.llm.decontaminate._unequal", lambda chars, starts, reach: np.ones(len(chars), bool))
+            m.setattr("keystrata.llm.decontaminate._HITS", rng.choice([50, 1 << 40]))
+            assert find(index, texts) == got
+
+
+def test_a_megabyte_of_dashes_ends():
+    index = Index([(k, "-" * 80) for k in range(12)] + [(20, "ab " * 30)])
+    start = time.process_time()
+    for text in ("-" * 1_000_000, ("-" * 80 + "\n") * 12_000):
+        got = find(index, [text, "x"])
+        assert [(d, o, a, e) for d, o, a, _, e in got] == [(0, o, 0, 0) for o in range(12)]
+        assert all(len(text) - 4 <= b <= len(text) for _, _, _, b, _ in got)
+    assert time.process_time() - start < 8
+
+
 PASSAGE = words(40)
 
 
