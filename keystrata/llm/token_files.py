@@ -5,13 +5,18 @@ checksum), then a skippable frame with one entry per document (compressed size,
 of the ids) and a footer that says how many. A reader fetches the footer and table, then only the frames it wants.
 Documents are dealt by ranges of their id and sorted within them, so shard by shard the ids ascend.
 
+Shards are cut by id, then by the beginning and a hash of the text, so rows that share an id spread as well; there
+are as many as the session's shuffle partitions, more where the table's size asks for them.
+
 Defined results: a null or empty text is the end id alone; null ids come first; rows that repeat an id are
-written one after another, ordered by text, each with its own start; an empty table writes nothing and gives
+written one after another, ordered by their first 64 characters, a hash and the text, each with its own start; an empty table writes nothing and gives
 no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
+import math
 import os
 import re
 import struct
@@ -37,6 +42,12 @@ MARK = 0x8F92EAB1
 ENTRY = struct.Struct("<QQq?I")
 FOOTER = struct.Struct("<QI")
 HEAD = struct.Struct("<II")
+#: A shard is written for so many bytes of the table, at least.
+SHARD_BYTES = 256 << 20
+#: The tokenizer steps for which pieces between white space can be encoded by themselves. The normal
+#: form never composes across white space, the split drops it, and what stands between is encoded word by word.
+PIECEWISE_NORMALIZERS = ({"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"})
+PIECEWISE_SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
 
 
 @lru_cache(maxsize=4)
@@ -47,6 +58,20 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def encodes_by_pieces(tokenizer) -> bool:
+    """Whether the ids of a text are those of its pieces between spaces, tabs and line breaks, by the tokenizer's own description."""
+    own = json.loads(tokenizer.to_str())
+    normalizer, split = own["normalizer"] or {"type": "Sequence", "normalizers": []}, own["pre_tokenizer"] or {}
+    steps = normalizer.get("normalizers", [normalizer])
+    words = split.get("pretokenizers", [split])
+    return (
+        own["truncation"] is None and own["padding"] is None
+        and all(x in PIECEWISE_NORMALIZERS for x in steps)
+        and words[0] == PIECEWISE_SPLIT and all(x["type"] == "ByteLevel" and not x["add_prefix_space"] and not x["use_regex"] for x in words[1:])
+        and not any(x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"] or re.search(r"\s", x["content"]) for x in own["added_tokens"])
+    )
+
+
 def _room(x: np.ndarray, n: int) -> np.ndarray:
     return x if n <= len(x) else np.concatenate([x, np.zeros(max(len(x), n - len(x)), x.dtype)])
 
@@ -57,17 +82,19 @@ class WordCache:
     For a tokenizer whose pre-tokenization drops white space and keeps letters apart from marks, no token
     spans an ASCII space, tab or line break, so the ids of a text are those of its pieces in order. The
     library encodes each piece once. Two rewritings make pieces recur more often and leave the ids alone:
-    a single comma or full stop between a letter or digit and white space becomes a piece of its own, and a
+    a single comma or full stop between an ASCII letter or digit and white space becomes a piece of its own (other
+    letters may end in a combining mark once normalized, which would join the stop), and a
     text of Latin-1 characters only (no combining marks, one small letter for each capital) is lower-cased
-    where the tokenizer does so itself. The cache is dropped when it is full.
+    where the tokenizer does so itself. The cache is dropped when it is full. Texts of any other tokenizer are encoded whole.
     """
 
     PIECES = 1_000_000
-    STOP = re.compile(r"(?<=[^\W_])([.,])(?=[ \n\t])")
+    STOP = re.compile(r"(?<=[A-Za-z0-9])([.,])(?=[ \n\t])")
     MARK = "\x01"
 
     def __init__(self, path: str) -> None:
         self.tokenizer = _tokenizer(path)
+        self.by_pieces = encodes_by_pieces(self.tokenizer)
         self.lowers = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("ABC") == "abc"
         mark = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
@@ -116,6 +143,8 @@ class WordCache:
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text. New pieces of all of them are learned together."""
+        if not self.by_pieces:
+            return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         parts = [self._pieces(t) for t in texts]
         pieces = list(chain.from_iterable(parts))
         at = np.fromiter(map(self.index.get, pieces, repeat(-1)), np.int64, len(pieces))
@@ -212,10 +241,18 @@ def _write(folder: str, vocabulary: str, end_id: int) -> Callable[[Iterator[pa.R
     return run
 
 
+def shards(spark: SparkSession, docs: DataFrame) -> int:
+    """By the size of the table as the optimizer knows it, and no fewer than the session's shuffle partitions."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = size < 1 << 55  # far more stands for a table of unknown size
+    return max(spread(docs, spark), math.ceil(size / SHARD_BYTES) if known else 0)
+
+
 def write_token_files(spark: SparkSession, docs: DataFrame, folder: str, vocabulary: str, end_id: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Writes the shards and a manifest with one row per shard (shard, n_docs, n_tokens); returns the manifest."""
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_or_empty(text_column).alias("text"))
-    dealt = rows.repartitionByRange(spread(rows, spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = (F.col("doc_id").asc_nulls_first(), F.substring("text", 1, 64), F.xxhash64("text"))
+    dealt = rows.repartitionByRange(shards(spark, docs), *order).sortWithinPartitions(*order, "text")
     dealt.mapInArrow(returning(_write(folder, vocabulary, end_id), keeps="pieces"), _WRITTEN).write.parquet(f"{folder}/manifest")
     return spark.read.parquet(f"{folder}/manifest")
 
