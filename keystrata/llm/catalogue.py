@@ -124,29 +124,15 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
         SELECT *, (total - coalesce(sum(3 * source_size) OVER (ORDER BY ratio, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
                / (sum(weight) OVER (ORDER BY ratio, number ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level FROM w
     ), t AS (
-        SELECT *, least(3.0::DOUBLE * source_size, (SELECT max(level) FROM l WHERE level <= ratio) * weight) AS target,
-               CAST(greatest(1, ceil(total / 262144.0::DOUBLE)) AS BIGINT) AS length FROM l
-    ), p AS (
-        SELECT *, CAST(sum(CAST(floor(target / total * 4294967296.0::DOUBLE) AS BIGINT)) OVER (ORDER BY number) AS BIGINT) AS until,
-               CAST(floor(target / total * 4294967296.0::DOUBLE) AS BIGINT) AS points FROM t
-    ), slots AS (
-        SELECT i AS slot, (i * 2654435769) % 4294967296 AS point FROM range(0, 262144) r(i)
-    ), ranked AS (
-        SELECT number, row_number() OVER (PARTITION BY number ORDER BY slot) - 1 AS rank, CAST(ceil(source_size / length::DOUBLE) AS BIGINT) AS blocks
-        FROM slots JOIN p ON point >= until - points AND point < until WHERE slot * length < total
-    ), uses AS (
-        SELECT number, rank % blocks AS block, count(*) AS uses FROM ranked WHERE rank < 3 * blocks GROUP BY ALL
-    ), rows AS (
-        SELECT doc_id, size, source_size, target, number, length,
+        SELECT *, least(3.0::DOUBLE * source_size, (SELECT max(level) FROM l WHERE level <= ratio) * weight) AS target FROM l
+    ), r AS (
+        SELECT doc_id, size, source_size, target, CAST(round(target) AS BIGINT) AS wanted,
                CAST(sum(size) OVER (PARTITION BY number ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - size AS start
-        FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
-    ), touched AS (
-        SELECT *, unnest(range(start // length, (start + size - 1) // length + 1)) AS block FROM rows WHERE size > 0
-    ), taken AS (
-        SELECT doc_id, number, start, CAST(sum((least(start + size, (block + 1) * length) - greatest(start, block * length)) * uses) AS BIGINT) AS taken
-        FROM touched JOIN uses USING (number, block) GROUP BY doc_id, number, start
+        FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
     )
-    SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM rows LEFT JOIN taken USING (doc_id, number, start)
+    SELECT doc_id, size, source_size, target,
+           CASE WHEN size = 0 THEN 0 ELSE CAST(wanted // source_size * size + greatest(0, least(size, wanted % source_size - start)) AS BIGINT) END AS taken
+    FROM r
     """,
 )
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,21 +2,18 @@
 
 Targets: sources in code-point order (null last) weigh 1, 2, 3, repeating, and share the words of all documents;
 no target exceeds ``repeats`` times its source, and what that frees is shared by weight among the others.
-Schedule: the mix is ``slots`` slots of one block length. Slot i has the golden-ratio point i * 2654435769 mod
-2^32, which falls into one source's stretch of the cumulative targets; slots are ranked per source. Blocks: the
-documents of a source, shuffled by a hash of their id, form a stream cut into blocks of that length; the slot
-ranked r takes block r mod the source's number of blocks. A document's taken words are the overlaps of its
-stretch of the stream with its blocks, times their uses.
-
-Blocks of more than one word miss a target by up to a block, and a short last block counts as a whole one, so
-small sources of a large corpus stray far from their targets. ``settle`` then settles each source's remainder
-in words: its slots take the stream from its start and round again, so a source whose target is t words in
-all takes its stream t div size times and the first t mod size words once more. Blocks of one word leave no
-remainder. The pipeline settles; ``mix_sources`` by default, as its SQL, doesn't.
+Schedule: the mix is ``slots`` slots, as many as there are words if those are fewer. Slot i has the golden-ratio
+point i * 2654435769 mod 2^32, which falls into one source's stretch of the cumulative targets; slots are ranked
+per source. A source that no point meets, having less than a slot's share, gets one slot at the end. Blocks: the documents
+of a source, shuffled by a hash of their id, form a stream that begins again at its end; its slots share the
+target's words out evenly, block after block, so the blocks of a source are equal to a word, those of all sources
+nearly so, and every source meets its target to a word, whatever its size. A document's taken words are the
+overlaps of its stretches of the stream with the blocks of the slots.
 
 All counts are integers and the order is total, so reruns agree. Running sums go by (source, hash prefix) and
 then over prefixes, so a source with most of the rows is no single task. The number of slots is a parameter,
-not a function of the input: more words make longer blocks.
+not a function of the input: more words make longer blocks. Sources are numbered and share the words in one task, a row per
+source, which fits some millions of them.
 
 Defined results: a null text has size 0; documents without words are taken 0 times; a null source is a source
 of its own; a null id is shuffled as the text "null"; rows that repeat are mixed one by one. An empty table
@@ -28,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keystrata.llm.text import WORD, text_or_empty
+from keystrata.llm.text import WORD, free_names, text_or_empty
 from keystrata.sources.shared import fresh_folder
 
 GOLDEN = 2654435769
@@ -55,27 +52,33 @@ def targets(sizes: DataFrame, repeats: int = 3) -> DataFrame:
     per = per.withColumn("target", F.least(F.lit(float(repeats)) * F.col("source_size"), level * F.col("weight")))
     points = F.when(F.col("total") > 0, F.floor(F.col("target") / F.col("total") * F.lit(float(SPAN)))).otherwise(0).cast("long")
     until = F.sum(points).over(Window.orderBy("number").rowsBetween(Window.unboundedPreceding, 0))
-    return per.withColumn("until", until).select("source", "number", "source_size", "target", "total", (F.col("until") - points).alias("from"), "until")
+    wanted = F.round("target").cast("long").alias("wanted")
+    return per.withColumn("until", until).select("source", "number", "source_size", "target", wanted, "total", (F.col("until") - points).alias("from"), "until")
 
 
-def block_length(total: Column, slots: int) -> Column:
-    return F.greatest(F.lit(1), F.ceil(total / F.lit(slots))).cast("long")
-
-
-def schedule(spark: SparkSession, plan: DataFrame, slots: int, repeats: int = 3) -> DataFrame:
-    """(number, block, uses): how often each block of each source is taken. A source's slots are at most ``slots`` rows."""
+def schedule(spark: SparkSession, plan: DataFrame, slots: int) -> DataFrame:
+    """(number, rank, slot, first, past): the slots, and which words of their source's repeated stream they take. At most ``slots`` rows and one a source."""
     cells = 4096
     wide = SPAN // cells
-    stretches = plan.filter("until > from").select("number", "source_size", "total", "from", "until", F.explode(F.sequence(F.floor(F.col("from") / wide), F.floor((F.col("until") - 1) / wide))).alias("cell"))
+    stretches = plan.filter("until > from").select("number", "total", "from", "until", F.explode(F.sequence(F.floor(F.col("from") / wide), F.floor((F.col("until") - 1) / wide))).alias("cell"))
     points = spark.range(slots).select(F.col("id").alias("slot"), ((F.col("id") * GOLDEN) % SPAN).alias("point")).withColumn("cell", F.floor(F.col("point") / wide))
-    placed = points.join(stretches, "cell").filter("point >= from AND point < until").withColumn("length", block_length(F.col("total"), slots))
-    placed = placed.filter(F.col("slot") * F.col("length") < F.col("total"))
-    ranked = placed.withColumn("rank", F.row_number().over(Window.partitionBy("number").orderBy("slot")) - 1).withColumn("blocks", F.ceil(F.col("source_size") / F.col("length")))
-    return ranked.filter(F.col("rank") < repeats * F.col("blocks")).groupBy("number", (F.col("rank") % F.col("blocks")).alias("block")).agg(F.count(F.lit(1)).alias("uses"))
+    placed = points.join(stretches, "cell").filter("point >= from AND point < until AND slot < total").select("number", "slot")
+    missed = plan.filter("wanted > 0").select("number").join(placed, "number", "left_anti").select("number", (F.col("number") + slots).alias("slot"))
+    ranked = placed.unionByName(missed).withColumn("rank", F.row_number().over(Window.partitionBy("number").orderBy("slot")) - 1)
+    shared = ranked.join(ranked.groupBy("number").agg(F.count(F.lit(1)).alias("n")), "number").join(plan.select("number", "wanted"), "number")
+    each, over = F.floor(F.col("wanted") / F.col("n")), F.col("wanted") % F.col("n")
+    first = F.col("rank") * F.col("each") + F.least("rank", "over")
+    return shared.withColumns({"each": each, "over": over}).select("number", "rank", "slot", "n", first.alias("first"), (first + F.col("each") + (F.col("rank") < F.col("over")).cast("long")).alias("past"))
 
 
-def mix_sources(spark: SparkSession, docs: DataFrame, slots: int = 1 << 18, repeats: int = 3, settle: bool = False) -> DataFrame:
-    """One row per input row: doc_id, size, source_size, target, taken, source."""
+def _rank(word: Column) -> Column:
+    """Of the slot that takes a word of the repeated stream: the first ``over`` slots take ``each`` + 1 words, the others ``each``."""
+    longer = F.col("over") * (F.col("each") + 1)
+    return F.when(word < longer, F.floor(word / (F.col("each") + 1))).otherwise(F.col("over") + F.floor((word - longer) / F.greatest(F.lit(1), F.col("each"))))
+
+
+def _streams(spark: SparkSession, docs: DataFrame, slots: int, repeats: int) -> tuple[DataFrame, DataFrame]:
+    """Every input row with its stretch of its source's stream and its source's plan; and where the mix takes which of its words."""
     if not 0 < slots <= 1 << 30:
         raise ValueError("slots must lie between 1 and 2^30")
     folder = fresh_folder(spark, "mix")
@@ -83,36 +86,49 @@ def mix_sources(spark: SparkSession, docs: DataFrame, slots: int = 1 << 18, repe
     sizes = spark.read.parquet(f"{folder}/sizes")
     targets(sizes, repeats).write.parquet(f"{folder}/plan")
     plan = spark.read.parquet(f"{folder}/plan")
+    schedule(spark, plan, slots).write.parquet(f"{folder}/schedule")
+    taken = spark.read.parquet(f"{folder}/schedule")
+    counts = taken.filter("rank = 0").select("number", "n")
     # A source with most of the rows meets its plan under salted keys.
-    salted = plan.select(F.col("source").alias("plan_source"), "number", "source_size", "target", "total", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("plan_salt"))
+    salted = plan.join(counts, "number", "left").select(F.col("source").alias("plan_source"), "number", "source_size", "target", "wanted", F.coalesce("n", F.lit(1)).alias("n"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("plan_salt"))
     keyed = sizes.withColumn("key", shuffle_key(F.col("doc_id"))).withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
     rows = keyed.join(salted, F.col("source").eqNullSafe(F.col("plan_source")) & (F.col("salt") == F.col("plan_salt"))).drop("plan_source", "plan_salt", "salt")
-    rows = rows.withColumn("prefix", F.substring("key", 1, 3)).withColumn("length", block_length(F.col("total"), slots))
+    rows = rows.withColumn("prefix", F.substring("key", 1, 3))
     inner = Window.partitionBy("number", "prefix").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("within", F.sum("size").over(inner) - F.col("size"))
     heads = rows.groupBy("number", "prefix").agg(F.sum("size").alias("words"))
     before = F.sum("words").over(Window.partitionBy("number").orderBy("prefix").rowsBetween(Window.unboundedPreceding, 0)) - F.col("words")
-    rows = rows.join(heads.select("number", "prefix", before.alias("before")), ["number", "prefix"]).withColumn("start", F.col("before") + F.col("within")).drop("before", "within", "key", "prefix", "total")
+    rows = rows.join(heads.select("number", "prefix", before.alias("before")), ["number", "prefix"]).withColumn("start", F.col("before") + F.col("within")).drop("before", "within", "key", "prefix")
     rows.withColumn("row", F.monotonically_increasing_id()).write.parquet(f"{folder}/streams")
     rows = spark.read.parquet(f"{folder}/streams")
-    if settle and plan.filter(block_length(F.col("total"), slots) > 1).limit(1).count():
-        wanted = F.round("target").cast("long")
-        more = F.greatest(F.lit(0), F.least(F.col("size"), F.pmod(wanted, F.col("source_size")) - F.col("start")))
-        settled = F.when(F.col("size") > 0, F.floor(wanted / F.col("source_size")) * F.col("size") + more).otherwise(0)
-        return rows.select("doc_id", "size", "source_size", "target", settled.cast("long").alias("taken"), "source")
-    touched = rows.filter("size > 0").select("row", "number", "start", "size", "length", F.explode(F.sequence(F.floor(F.col("start") / F.col("length")), F.floor((F.col("start") + F.col("size") - 1) / F.col("length")))).alias("block"))
-    overlap = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * F.col("length")) - F.greatest("start", F.col("block") * F.col("length"))
-    taken = touched.join(schedule(spark, plan, slots, repeats), ["number", "block"]).groupBy("row").agg(F.sum(overlap * F.col("uses")).alias("taken"))
+    rounds = F.sequence(F.lit(0), F.floor((F.col("wanted") - 1 - F.col("start")) / F.col("source_size")))
+    again = rows.filter("size > 0 AND start < wanted").withColumns({"each": F.floor(F.col("wanted") / F.col("n")), "over": F.col("wanted") % F.col("n"), "round": F.explode(rounds)})
+    again = again.withColumn("begin", F.col("start") + F.col("round") * F.col("source_size"))
+    again = again.withColumn("end", F.least(F.col("begin") + F.col("size"), F.col("wanted")))
+    touched = again.select("row", "doc_id", "number", "begin", "end", F.explode(F.sequence(_rank(F.col("begin")), _rank(F.col("end") - 1))).alias("rank"))
+    pieces = touched.join(taken.select("number", "rank", "slot", "first", "past"), ["number", "rank"])
+    return rows, pieces.select("row", "doc_id", "slot", (F.greatest("begin", "first") - F.col("begin")).alias("from_word"), (F.least("end", "past") - F.greatest("begin", "first")).alias("words"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, slots: int = 1 << 18, repeats: int = 3) -> DataFrame:
+    """One row per input row: doc_id, size, source_size, target, taken, source."""
+    rows, pieces = _streams(spark, docs, slots, repeats)
+    taken = pieces.groupBy("row").agg(F.sum("words").alias("taken"))
     return rows.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source")
 
 
+def mix_order(spark: SparkSession, docs: DataFrame, slots: int = 1 << 18, repeats: int = 3) -> DataFrame:
+    """The mix itself, a row per piece: slot, doc_id, from_word and words. Read by slot, sources alternate by their targets all along."""
+    return _streams(spark, docs, slots, repeats)[1].drop("row")
+
+
 def apply_mix(spark: SparkSession, docs: DataFrame, slots: int = 1 << 18, repeats: int = 3) -> DataFrame:
     """The rows, with all their columns, as often as the mix takes them whole (a half counts as whole)."""
     names = docs.columns
-    mixed = mix_sources(spark, docs, slots, repeats, settle=True).filter("taken > 0")
-    copies = mixed.groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size")).agg(F.max("taken").alias("__taken"))
-    sized = docs.withColumn("__words", F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size"))
-    times = F.floor(F.col("__taken") / F.col("__size") + 0.5).cast("int")
-    joined = sized.join(copies, same).withColumn("__times", times).filter("__times > 0")
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*names)
+    own_id, own_source, own_size, taken, words, times, copy = free_names(names, "mix_id", "mix_source", "mix_size", "mix_taken", "mix_words", "mix_times", "mix_copy")
+    mixed = mix_sources(spark, docs, slots, repeats).filter("taken > 0")
+    copies = mixed.groupBy(F.col("doc_id").alias(own_id), F.col("source").alias(own_source), F.col("size").alias(own_size)).agg(F.max("taken").alias(taken))
+    sized = docs.withColumn(words, F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(own_id)) & F.col("source").eqNullSafe(F.col(own_source)) & (F.col(words) == F.col(own_size))
+    joined = sized.join(copies, same).withColumn(times, F.floor(F.col(taken) / F.col(own_size) + 0.5).cast("int")).filter(F.col(times) > 0)
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*names)
