@@ -2,10 +2,14 @@
 
 A tolerant parser builds the element tree of the whole page. Every node gets its characters, tags, link
 characters and link tags; its density is characters per tag, adjusted by how much of it is links against
-the page's own link share. Densities of a node's children are summed, and the node with the greatest sum
-under the body is the content; the least density on its path to the body is the threshold that
-neighbouring parts must reach to belong to it. Parts that say what they are (navigation, forms, notices,
-adverts, reader comments and so on) are left out beforehand.
+the page's own link share. Densities of a node's children are summed, and of the nodes that hold blocks the one
+with the greatest sum under the body is the content (of equal sums, an article or main element); the least density on its path to the body is the threshold that
+neighbouring parts must reach to belong to it. Where articles as dense as that hold most of it, they are the content,
+and an article isn't left for other parts than articles.
+
+Parts that say what they are (navigation, forms, notices, adverts, reader comments and so on) by their element,
+or as containers by a whole token of their class, id or role, are left out beforehand. A longer token that only has
+such a word in it ("related-work") decides nothing by itself: its part goes if its density is below the threshold.
 
 Defined results: a null or empty html gives an empty text, as does a page without any main text. Character
 references are decoded; white space inside a block becomes one space; blocks are joined by one line break
@@ -33,10 +37,13 @@ BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+MARKED = frozenset("article main".split())
 NEVER = frozenset("head script style noscript template svg math iframe object embed canvas audio video select button input textarea title nav aside footer dialog form".split())
 CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select"), "tbody": ("tbody thead tfoot tr td th", "table"), "tfoot": ("tbody thead tfoot tr td th", "table"), "thead": ("tbody thead tfoot tr td th", "table")}
 CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in CLOSES.items()}
 SCOPE = frozenset("html body table td th caption button object".split())
+#: Elements that a class, id or role can name as a part outside the main text. Headings, paragraphs and items can't be.
+CONTAINERS = frozenset("article aside center details dialog div dl fieldset figure footer form header menu nav ol section span table ul".split())
 #: Words in a class, id or role that name a part outside the main text.
 LABELS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside rail "
@@ -44,25 +51,30 @@ LABELS = frozenset(
     "subscribe subscription signup login share sharing social related recommended widget pagination pager toolbar complementary contentinfo search form skip".split()
 )
 HEADER_LABELS = frozenset("header masthead".split())
-#: The same as the end of a longer word ("sitefooter", "topnav").
-LABEL_ENDS = ("nav", "navbar", "menu", "footer", "sidebar", "comments", "banner", "cookie", "advert")
+#: Words that say nothing about a part beside a label ("related-posts", "site-header").
+NEUTRAL = frozenset("site page main global top bottom left right primary secondary box block bar area list wrap wrapper container section reader user post posts article articles link links button buttons slot unit text inner outer".split())
+#: The same as the last word, or the end, of a longer one ("sitefooter", "topnav").
+LABEL_ENDS = ("nav", "navbar", "menu", "footer", "sidebar", "comments", "banner", "cookie", "cookies", "advert", "breadcrumbs")
 
 TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>\"']*+(?:\"[^\"]*+\"[^>\"']*+|'[^']*+'[^>\"']*+)*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)", re.S)
-NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 #: Elements nested deeper than this become siblings, as in browsers.
 DEEPEST = 512
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+#: A list whose links are at least so long on the average is one of sources or titles, no menu.
+TITLE = 20
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("attributes", "chars", "density", "link_chars", "link_tags", "parent", "parts", "tag", "tags", "total")
+    __slots__ = ("attributes", "chars", "density", "doubtful", "link_chars", "link_tags", "parent", "parts", "tag", "tags", "total")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str = "") -> None:
         self.tag, self.parent, self.attributes = tag, parent, attributes
         self.parts: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
+        self.doubtful = False
 
 
 def parse(page: str) -> Node:
@@ -128,10 +140,32 @@ def _order(top: Node) -> list[Node]:
     return out
 
 
-def _labels(node: Node) -> set[str]:
-    """Labels of parts outside the main text among the words of class, id and role."""
-    words = {w.lower() for m in NAMED.finditer(node.attributes) for w in WORDS.findall(m[2] or m[3] or m[4] or "")}
-    return {w for w in words if w in LABELS or w.endswith(LABEL_ENDS)}
+def _attributes(node: Node) -> dict[str, str]:
+    out: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(node.attributes):
+        out.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
+    return out
+
+
+def _labels(tag: str, attributes: dict[str, str]) -> tuple[set[str], bool]:
+    """What names a container as outside the main text; and whether a longer token only has such a word in it."""
+    found, doubt = set(), False
+    for name in ("class", "id", "role") if tag in CONTAINERS else ():
+        for token in attributes.get(name, "").split():
+            words = [w.lower() for w in WORDS.findall(token)]
+            labels = {w for w in words if w in LABELS}
+            ended = name != "id" and words and words[-1].endswith(LABEL_ENDS)
+            if labels and all(w in labels or w in NEUTRAL for w in words):
+                found |= labels
+            elif ended or (len(words) == 1 and words[0].endswith(LABEL_ENDS)):
+                found.add(words[-1])
+            else:
+                doubt = doubt or bool(labels)
+    return found, doubt
+
+
+def _unseen(attributes: dict[str, str]) -> bool:
+    return "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or bool(UNSEEN.search(attributes.get("style", "")))
 
 
 def _length(text: str) -> int:
@@ -153,9 +187,11 @@ def _prune(top: Node) -> None:
     """Takes out parts that are not main text by element or by name. A name alone never takes most of the page."""
     nodes = _count(top)
     whole = max(1, top.chars)
-    wraps = set()
-    for node in nodes:
-        if node.tag in ("article", "main"):
+    wraps, inside = set(), set()
+    for node in nodes:  # parents first
+        if node.tag in MARKED or (node.parent is not None and id(node.parent) in inside):
+            inside.add(id(node))
+        if node.tag in MARKED:
             up = node.parent
             while up is not None and id(up) not in wraps:
                 wraps.add(id(up))
@@ -167,14 +203,16 @@ def _prune(top: Node) -> None:
                 kept.append(part)
                 continue
             most = part.tag in ("body", "html", "main") or id(part) in wraps or part.chars * 2 > whole
-            named = _labels(part) if part.attributes and not most else set()
-            if (part.tag in NEVER and not (part.tag == "form" and most)) or (part.attributes and HIDDEN.search(part.attributes)):
+            attributes = _attributes(part) if part.attributes else {}
+            named, doubt = _labels(part.tag, attributes) if attributes and not most else (set(), False)
+            part.doubtful = doubt and not named
+            if (part.tag in NEVER and not (part.tag == "form" and most)) or (attributes and _unseen(attributes)):
                 kept.append(" ")
             elif part.tag == "header" or named and named <= HEADER_LABELS:
                 kept += [x for x in _order(part) if x.tag in HEADINGS] if not most else [part]
             elif named:
                 kept.append(" ")
-            elif part.tag in ("ul", "ol", "menu", "dl") and part.link_tags > 1 and part.link_chars * 5 >= part.chars * 4:
+            elif part.tag in ("ul", "ol", "menu", "dl") and part.link_tags > 1 and part.link_chars * 5 >= part.chars * 4 and (part.tag != "ol" and part.link_chars < TITLE * part.link_tags or not id(node) in inside):
                 kept.append(" ")
             else:
                 kept.append(part)
@@ -199,26 +237,49 @@ def _densities(body: Node) -> list[Node]:
     return nodes
 
 
+def _plain_density(node: Node) -> float:
+    """Characters outside links per tag."""
+    return (node.chars - node.link_chars) / max(1, node.tags)
+
+
+def _outermost_marked(top: Node) -> list[Node]:
+    out, stack = [], [top]
+    while stack:
+        node = stack.pop()
+        if node.tag in MARKED:
+            out.append(node)
+        else:
+            stack += [x for x in reversed(node.parts) if isinstance(x, Node)]
+    return out
+
+
 def _content(body: Node) -> list[Node]:
     nodes = _densities(body)
-    best = max(nodes, key=lambda x: x.total)
+    holders = [x for x in nodes if x is body or any(isinstance(y, Node) and y.tag in BLOCK for y in x.parts)]
+    best = max(holders, key=lambda x: (x.total, x.tag in MARKED))
     if best.total == 0:
         return [body]
     path = [best]
     while path[-1] is not body:
         path.append(path[-1].parent)
-    for name in ("article", "main"):
-        outer = [x for x in path if x.tag == name]
-        if outer:
-            return [outer[-1]]
-    threshold = min(x.density for x in path)
-    while best is not body and (best.chars == best.parent.chars or best.chars * 2 < best.parent.chars and best.parent.link_chars * 4 < best.parent.chars):
+    threshold, plain = min(x.density for x in path), min(map(_plain_density, path))
+    while best is not body and best.tag not in MARKED and (best.chars == best.parent.chars or best.chars * 2 < best.parent.chars and best.parent.link_chars * 4 < best.parent.chars):
         best = best.parent  # a wrapper of the same text, or a section of a longer one
+    for node in nodes:
+        if node.doubtful and node.density < threshold:
+            node.parts = []
+    if best.tag not in MARKED:
+        marked = [x for x in _outermost_marked(best) if not x.doubtful and 2 * _plain_density(x) >= plain]
+        if 2 * sum(x.chars for x in marked) >= best.chars:
+            return marked  # density chose what lies around them, but most of it is theirs
     tops, inner = [best], best
     while inner is not body:
         around = [x for x in inner.parent.parts if isinstance(x, Node)]
         at = next(k for k, x in enumerate(around) if x is inner)
-        keep = [x.density >= threshold or (inner is best and x.tag in HEADINGS) for x in around]
+        if inner.tag in MARKED:  # the log in the density grows with a part's size, so articles of different sizes are compared without it
+            keep = [x.tag in MARKED and not x.doubtful and 2 * _plain_density(x) >= plain for x in around]
+        else:
+            keep = [not x.doubtful and (x.density >= threshold or (inner is best and x.tag in HEADINGS)) for x in around]
         tops = [*(x for x, k in zip(around[:at], keep[:at], strict=True) if k), *tops, *(x for x, k in zip(around[at + 1 :], keep[at + 1 :], strict=True) if k)]
         inner = inner.parent
     return tops

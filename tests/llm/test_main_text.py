@@ -1,3 +1,6 @@
+import html.parser
+import random
+
 import pytest
 
 from keystrata.llm.main_text import extract_main_text, main_text
@@ -45,6 +48,77 @@ def test_dense_parts_without_paragraphs_stay(part):
     assert main_text(page) == "\n".join([last, other, *[first] * 8])
 
 
+P = ("Long enough paragraph of plain text in an article. " * 4).strip()
+L = '<a href="/x">{}</a>'
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f'<article><p title="the hidden side">{P}</p><p>{P}</p></article>', f"{P}\n{P}"),
+        (f'<article><p data-note="display: none">{P}</p><p aria-hidden=false>{P}</p><p hidden>{P}</p><div style="x:y;display :none">{P}</div></article>', f"{P}\n{P}"),
+        (f'<article><h2 id="search-and-rescue">Search and rescue</h2><p>{P}</p></article>', f"Search and rescue\n{P}"),
+        (f'<article><p class="market-share">{P}</p><p>{P}</p></article>', f"{P}\n{P}"),
+        (f'<article><p>{P}</p><section id="related-work"><h2>Related work</h2><p>{P}</p></section></article>', f"{P}\nRelated work\n{P}"),
+        (f"<article><p>{P}</p><ol><li>{L.format('Smith 2001')}<li>{L.format('Jones 2002')}</ol></article>", f"{P}\nSmith 2001\nJones 2002"),
+        (f"<article><p>{P}</p><ul><li>{L.format('Smith, On the theory of texts')}<li>{L.format('Jones, An answer to Smith')}</ul></article>", f"{P}\nSmith, On the theory of texts\nJones, An answer to Smith"),
+        (f"<article><p>{P}</p><ul><li>{L.format('News')}<li>{L.format('Mail')}</ul></article>", P),
+        (f"<body><article><h1>One</h1><p>{P}</p></article><article><h1>Two</h1><p>{P}</p><p>{P}</p></article></body>", f"One\n{P}\nTwo\n{P}\n{P}"),
+        (f'<body><div class="cookie-notice"><p>{P * 3}</p></div><div><p>{P}</p><p>{P}</p></div><div class="sidebar-left"><p>{P}</p></div></body>', f"{P}\n{P}"),
+        (f"<body><article><p>{P}</p><p>{P}</p></article><div><p>{P}</p></div></body>", f"{P}\n{P}"),
+        (f"<body><div><p>{P}</p></div><article>{L.format('Next')}</article><div><div>{L.format('a') * 9}</div><section><p>{P}</p><p>{P}</p><p>{P}</p></section></div></body>", "\n".join([P] * 4)),
+    ],
+)
+def test_names_and_density_decide(page, text):
+    assert main_text(page) == text
+
+
+class Plain(html.parser.HTMLParser):
+    """A separate, plain version for pages whose blocks are closed and whose boilerplate is marked by element or whole class."""
+
+    def __init__(self):
+        super().__init__()
+        self.path, self.blocks = [], []
+
+    def out(self):
+        return any(t in ("head", "script", "style", "nav", "footer", "aside", "form") or c in ("ad", "sidebar", "comments", "cookie-notice") for t, c in self.path)
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            self.blocks and self.blocks[-1].append(" ")
+            return
+        self.path.append((tag, dict(attrs).get("class")))
+        if tag not in ("b", "i", "a"):
+            self.blocks.append([])
+
+    def handle_endtag(self, tag):
+        self.path.pop()
+        if tag not in ("b", "i", "a"):
+            self.blocks.append([])
+
+    def handle_data(self, data):
+        if self.blocks and not self.out():
+            self.blocks[-1].append(data)
+
+
+def test_against_a_separate_version_on_generated_pages():
+    rng = random.Random(12)
+
+    def sentence(n):
+        return " ".join(rng.choice(["word", "other", "text &amp; more", "<b>bold</b>", "über", "x&lt;y", "<a href=1>one</a>"] if rng.random() < 0.1 else ["some", "plain", "words", "of", "prose\n", "here"]) for _ in range(n))
+
+    for _ in range(60):
+        body = "".join(rng.choice([f"<p>{sentence(rng.randint(25, 60))}</p>"] * 5 + [f"<ul><li>{sentence(25)}</li><li>{sentence(25)}</li></ul>", f"<blockquote>{sentence(40)}</blockquote>", f"<div class=ad>{sentence(8)}</div>", "<aside><p>side</p></aside>"]) for _ in range(rng.randint(3, 9)))
+        text = rng.choice(["<article>{}</article>", "<main>{}</main>", "<div class=body>{}</div>", "<div><section>{}</section></div>"]).format(f"<h1>{sentence(5)}</h1>{body}<p>{sentence(40)}</p>")
+        around = ["<nav><ul><li><a href=1>Home</a></li></ul></nav>", "<div class=sidebar><p>x y</p></div>", "<form><p>mail</p></form>", "<footer><p>end</p></footer>", f"<div class=comments><p>{sentence(30)}</p></div>", f"<div class=cookie-notice><p>{sentence(20)}</p></div>"]
+        cut = rng.randint(0, 6)
+        page = f"<html><head><title>t</title><style>p</style></head><body>{''.join(around[:cut])}{text}{''.join(around[cut:])}</body></html>"
+        plain = Plain()
+        plain.feed(page)
+        want = [" ".join("".join(x).split()) for x in plain.blocks]
+        assert main_text(page) == "\n".join(x for x in want if x)
+
+
 def test_hostile_pages_end():
     assert main_text("<" * 3000)
     assert main_text("<div>" * 5000 + "x") == "x"
