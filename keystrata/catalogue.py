@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from keystrata.functions.expressions import Predicate, all_of, any_of, condition, field
 from keystrata.operators.query import Query
-from keystrata.schema import Registry, TableDef
+from keystrata.schema import DatabaseRef, Registry, TableDef
 from keystrata.sources.shared import fresh_folder
 from keystrata.sources.store import Engine
 
@@ -114,6 +114,11 @@ def _strings_and_kinds() -> None:
         df = s.read.parquet(f"{d}/part.parquet").select("p_partkey", F.split("p_type", " ").alias("words"))
         return Query(TableDef("part", df.schema, ("p_partkey",)), lambda: df).where(f("words").has("ECONOMY")).to_df().select("p_partkey", F.array_join("words", " ").alias("words"))
 
+    def entries(s: SparkSession, d: str) -> DataFrame:
+        df = s.read.parquet(f"{d}/part.parquet").select("p_partkey", F.split("p_type", " ").alias("words"))
+        return Query(TableDef("part", df.schema, ("p_partkey",), multi_entry=("words",)), lambda: df).keys("words", unique=True)
+
+    _add("multi_entry_keys", entries, "SELECT DISTINCT unnest(string_split(p_type, ' ')) AS words FROM part")
     _add("array_contains", words, "SELECT p_partkey, p_type AS words FROM part WHERE list_contains(string_split(p_type, ' '), 'ECONOMY')")
 
 
@@ -122,6 +127,7 @@ def _composition() -> None:
     nested = ((f("o_totalprice") > 150000) & (f("o_orderstatus") == "O")) | ((f("o_orderdate").year == 1998) & ((f("o_custkey") < 100) | (f("o_orderpriority").starts_with("1"))))
     sql = "(o_totalprice > 150000 AND o_orderstatus = 'O') OR (year(o_orderdate) = 1998 AND (o_custkey < 100 OR starts_with(o_orderpriority, '1')))"
     _filter("and_or_nested", "orders", ORDER_COLUMNS, nested, sql)
+    _filter("where_object", "orders", ORDER_COLUMNS, {"o_orderstatus": "O", "o_custkey": 700}, "o_orderstatus = 'O' AND o_custkey = 700")
     _filter("raw_tree", "orders", ORDER_COLUMNS, nested.node, sql)
     _filter("not_demorgan", "orders", ORDER_COLUMNS, ~((f("o_custkey") > 500) & (f("o_orderstatus") == "O")), "NOT (o_custkey > 500 AND o_orderstatus = 'O')")
     _filter("not_or", "orders", ORDER_COLUMNS, ~((f("o_custkey") > 500) | (f("o_orderstatus") == "O")), "NOT (o_custkey > 500 OR o_orderstatus = 'O')")
@@ -194,32 +200,59 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mutations() -> None:
-    def stored(s: SparkSession, d: str):
+    def empty(s: SparkSession, d: str):
         df = s.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_name", "c_nationkey", "c_acctbal")
         engine = Engine(s, fresh_folder(s, "engine"), Registry(TableDef("customer", df.schema, ("c_custkey",))))
-        t = engine.table("customer")
-        t.add_range(df.filter("c_custkey % 2 = 0"))
+        return engine.table("customer"), df
+
+    def stored(s: SparkSession, d: str):
+        t, df = empty(s, d)
+        t.add_range(df)
         return t, df
 
     def add_range(s: SparkSession, d: str) -> DataFrame:
-        t, df = stored(s, d)
-        t.add_range(df.filter("c_custkey % 4 = 1"))
+        t, df = empty(s, d)
+        t.add_range(df.filter("c_acctbal > 2000"))
+        t.add_range(df.filter("NOT c_acctbal > 2000"))
+        return t.df()
+
+    def add_one(s: SparkSession, d: str) -> DataFrame:
+        t, _ = stored(s, d)
+        t.add({"c_custkey": -1, "c_name": "added", "c_nationkey": 3, "c_acctbal": 1.5})
+        return t.df()
+
+    def put_one(s: SparkSession, d: str) -> DataFrame:
+        t, _ = stored(s, d)
+        t.put([{"c_custkey": 10, "c_name": "put", "c_nationkey": 3, "c_acctbal": 1.5}])
+        t.put([{"c_custkey": -1, "c_name": "put", "c_nationkey": 3, "c_acctbal": 1.5}])
         return t.df()
 
     def update(s: SparkSession, d: str) -> DataFrame:
         t, _ = stored(s, d)
         t.update({"c_custkey": 10, "c_name": "renamed", "c_nationkey": 3, "c_acctbal": 1.5})
-        t.update({"c_custkey": 11, "c_name": "absent", "c_nationkey": 3, "c_acctbal": 1.5})
+        t.update({"c_custkey": -1, "c_name": "absent", "c_nationkey": 3, "c_acctbal": 1.5})
+        return t.df()
+
+    def update_many(s: SparkSession, d: str) -> DataFrame:
+        t, _ = stored(s, d)
+        t.update_many([{"c_custkey": 10, "c_name": "renamed"}, {"c_custkey": 20, "c_acctbal": None}, {"c_custkey": 10, "c_acctbal": 2.5}, {"c_custkey": -1, "c_name": "absent"}])
         return t.df()
 
     def upsert(s: SparkSession, d: str) -> DataFrame:
-        t, df = stored(s, d)
-        t.update_range(df.filter("c_custkey % 3 = 0").withColumn("c_acctbal", F.lit(0.0)))
+        t, df = empty(s, d)
+        t.add_range(df.filter("c_acctbal > 2000"))
+        t.update_range(df.filter("NOT c_acctbal > 4000").withColumn("c_acctbal", F.lit(0.0)))
+        return t.df()
+
+    def delete_one(s: SparkSession, d: str) -> DataFrame:
+        t, _ = stored(s, d)
+        t.delete({"c_custkey": 10})
+        t.delete({"c_custkey": -1})
         return t.df()
 
     def delete(s: SparkSession, d: str) -> DataFrame:
         t, df = stored(s, d)
-        t.delete_range(df.filter("c_custkey % 6 < 3"))
+        t.delete_range(df.filter("c_acctbal < 3000"))
         return t.df()
 
     def clear(s: SparkSession, d: str) -> DataFrame:
@@ -234,13 +267,86 @@ def _mutations() -> None:
         return t.df()
 
     head = "c_custkey, c_name, c_nationkey"
-    _add("add_range", add_range, f"SELECT {head}, c_acctbal FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 4 = 1")
-    _add("update_one", update, "SELECT c_custkey, CASE WHEN c_custkey = 10 THEN 'renamed' ELSE c_name END AS c_name, CASE WHEN c_custkey = 10 THEN 3 ELSE c_nationkey END AS c_nationkey, CASE WHEN c_custkey = 10 THEN 1.5::DOUBLE ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_custkey % 2 = 0")
-    _add("upsert_range", upsert, f"SELECT {head}, CASE WHEN c_custkey % 3 = 0 THEN 0.0::DOUBLE ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0")
-    _add("delete_range", delete, f"SELECT {head}, c_acctbal FROM customer WHERE c_custkey % 2 = 0 AND NOT (c_custkey % 6 < 3)")
-    _add("modify_where", modify, "SELECT c_custkey, CASE WHEN c_nationkey = 7 THEN 'seven' ELSE c_name END AS c_name, c_nationkey, CASE WHEN c_nationkey = 7 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_custkey % 2 = 0 AND c_nationkey <> 8")
+    one = "10 AS c_custkey, '{}' AS c_name, 3 AS c_nationkey, 1.5::DOUBLE AS c_acctbal"
+    _add("add_range", add_range, f"SELECT {head}, c_acctbal FROM customer")
+    _add("add_one", add_one, f"SELECT {head}, c_acctbal FROM customer UNION ALL SELECT {one.format('added').replace('10', '-1', 1)}")
+    _add("put_one", put_one, f"SELECT {head}, c_acctbal FROM customer WHERE c_custkey <> 10 UNION ALL SELECT {one.format('put')} UNION ALL SELECT {one.format('put').replace('10', '-1', 1)}")
+    _add("update_one", update, f"SELECT {head}, c_acctbal FROM customer WHERE c_custkey <> 10 UNION ALL SELECT {one.format('renamed')}")
+    _add("update_many", update_many, "SELECT c_custkey, CASE WHEN c_custkey = 10 THEN 'renamed' ELSE c_name END AS c_name, c_nationkey, CASE c_custkey WHEN 10 THEN 2.5::DOUBLE WHEN 20 THEN NULL ELSE c_acctbal END AS c_acctbal FROM customer")
+    _add("upsert_range", upsert, f"SELECT {head}, CASE WHEN c_acctbal > 4000 THEN c_acctbal ELSE 0.0::DOUBLE END AS c_acctbal FROM customer")
+    _add("delete_one", delete_one, f"SELECT {head}, c_acctbal FROM customer WHERE c_custkey <> 10")
+    _add("delete_range", delete, f"SELECT {head}, c_acctbal FROM customer WHERE NOT c_acctbal < 3000")
+    _add("modify_where", modify, "SELECT c_custkey, CASE WHEN c_nationkey = 7 THEN 'seven' ELSE c_name END AS c_name, c_nationkey, CASE WHEN c_nationkey = 7 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_nationkey <> 8")
     _add("clear_table", clear, f"SELECT {head}, c_acctbal FROM customer WHERE false")
 
 
-for _group in (_comparisons, _strings_and_kinds, _composition, _windows, _mutations):
+def _administration() -> None:
+    """What engine, databases and handles answer, as small tables."""
+
+    def engine_of(s: SparkSession, d: str) -> tuple[Engine, DataFrame]:
+        df = s.read.parquet(f"{d}/nation.parquet")
+        tables = Registry(TableDef("nation", df.schema, ("n_nationkey",), unique=("n_name",), databases=(DatabaseRef("client"), DatabaseRef("archive"))), TableDef("copy", df.schema, ("n_nationkey",)))
+        return Engine(s, fresh_folder(s, "engine"), tables), df
+
+    def counted(s: SparkSession, opened: dict) -> DataFrame:
+        return s.createDataFrame([(how, t.query().count()) for how, t in opened.items()], "opened string, n long")
+
+    def opened(s: SparkSession, d: str) -> DataFrame:
+        engine, df = engine_of(s, d)
+        engine.table("nation").add_range(df)
+        engine.table("nation", "archive").add_range(df.filter("n_regionkey = 1"))
+        return counted(s, {"default": engine.table("nation"), "chosen": engine.table("nation", DatabaseRef("archive")), "by set": engine.table("nation", engine.registry.table("nation").databases[1]), "by name": engine.table("nation", "archive"), "handle": engine.database("client").table("nation"), "other": engine.table("copy")})
+
+    def states(s: SparkSession, d: str) -> DataFrame:
+        engine, _ = engine_of(s, d)
+        out, db = [], engine.database("client")
+        note = lambda step: out.append((step, db.exists(), db.is_open(), ",".join(engine.open_databases())))
+        note("before")
+        engine.create_databases()
+        note("all created")
+        db.close()
+        note("closed")
+        db.open()
+        note("opened")
+        db.delete()
+        note("deleted")
+        db.create()
+        note("created again")
+        engine.close_all()
+        note("all closed")
+        engine.delete_all()
+        note("all deleted")
+        return s.createDataFrame(out, "step string, present boolean, is_open boolean, all_open string")
+
+    def introspected(s: SparkSession, d: str) -> DataFrame:
+        engine, _ = engine_of(s, d)
+        engine.create_databases()
+        rows = [(t["name"], c["name"], c["type"], c["name"] in t["primary_key"], c["name"] in t["unique"]) for t in engine.database("client").schema()["tables"] for c in t["columns"]["fields"]]
+        return s.createDataFrame(rows, "table_name string, column_name string, kind string, is_key boolean, is_unique boolean")
+
+    def estimated(s: SparkSession, d: str) -> DataFrame:
+        engine, df = engine_of(s, d)
+        before = engine.storage_estimate().usage
+        engine.table("nation").add_range(df)
+        after = engine.storage_estimate()
+        return s.createDataFrame([(after.usage > before, after.quota >= after.usage)], "grew boolean, within_quota boolean")
+
+    def iterated(s: SparkSession, d: str) -> DataFrame:
+        pulled = table(s, d, "orders").where(field("o_custkey") == 7).order_by("o_totalprice").rows()
+        return s.createDataFrame([(r.o_orderkey, r.o_custkey) for r in pulled], "o_orderkey long, o_custkey long")
+
+    def folded(s: SparkSession, d: str) -> DataFrame:
+        least, states_ = 100_000 + 50_000, ["O", "P"]
+        return table(s, d, "orders").where((field("o_totalprice") > least) & field("o_orderstatus").is_in(states_)).to_df().select(*ORDER_COLUMNS.split())
+
+    _add("table_handles", opened, "SELECT * FROM (VALUES ('default', 25), ('handle', 25), ('chosen', (SELECT count(*) FROM nation WHERE n_regionkey = 1)), ('by set', (SELECT count(*) FROM nation WHERE n_regionkey = 1)), ('by name', (SELECT count(*) FROM nation WHERE n_regionkey = 1)), ('other', 0)) AS t(opened, n)")
+    _add("database_states", states, """SELECT * FROM (VALUES ('before', false, false, ''), ('all created', true, true, 'archive,client,default'), ('closed', true, false, 'archive,default'), ('opened', true, true, 'archive,client,default'),
+        ('deleted', false, false, 'archive,default'), ('created again', true, true, 'archive,client,default'), ('all closed', true, false, ''), ('all deleted', false, false, '')) AS t(step, present, is_open, all_open)""")
+    _add("database_schema", introspected, "SELECT t AS table_name, c AS column_name, k AS kind, c = 'n_nationkey' AS is_key, t = 'nation' AND c = 'n_name' AS is_unique FROM (VALUES ('nation'), ('copy')) a(t), (VALUES ('n_nationkey', 'integer'), ('n_name', 'string'), ('n_regionkey', 'integer')) b(c, k)")
+    _add("storage_estimate", estimated, "SELECT true AS grew, true AS within_quota")
+    _add("pull_rows", iterated, "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey = 7")
+    _add("captured_values", folded, f"SELECT {ORDER_COLUMNS.replace(' ', ', ')} FROM orders WHERE o_totalprice > 150000 AND o_orderstatus IN ('O', 'P')")
+
+
+for _group in (_comparisons, _strings_and_kinds, _composition, _windows, _mutations, _administration):
     _group()

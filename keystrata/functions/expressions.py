@@ -204,13 +204,15 @@ def field(name: str) -> Field:
 
 
 def as_node(x: Any) -> Node:
-    """A predicate, a bool, a field that stands for "is true", or a raw tree."""
+    """A predicate, a bool, a field that stands for "is true", a raw tree, or attributes with the values they all must have."""
     if isinstance(x, Predicate):
         return x.node
     if isinstance(x, bool):
         return constant(x)
     if isinstance(x, Field):
         return x.is_true().node
+    if isinstance(x, dict) and not {"nodeType", "condition", "children"} & set(x):
+        return all_of(x.items(), lambda pair: field(pair[0]) == pair[1]).node
     if isinstance(x, dict):
         return x
     raise TypeError(f"not a predicate: {x!r}")

@@ -131,9 +131,9 @@ class Query:
         return self.to_df().select(*(F.col(f"`{c}`") for c in self.table.primary_key))
 
     def keys(self, column: str | Field, unique: bool = False) -> DataFrame:
-        """The values of one column that aren't null, each row's or each once."""
+        """The values of one column that aren't null, each row's or each once; of a multi-entry index, the elements."""
         name = self.table.column(_name(column))
-        values = self.to_df().select(F.col(f"`{name}`")).dropna()
+        values = self.to_df().select(F.explode(f"`{name}`").alias(name) if name in self.table.multi_entry else F.col(f"`{name}`")).dropna()
         return values.distinct() if unique else values
 
     def get_many(self, keys: Iterable[tuple]) -> DataFrame:

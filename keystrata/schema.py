@@ -33,6 +33,8 @@ class TableDef:
     indexes: tuple[str, ...] = ()
     unique: tuple[str, ...] = ()
     compound_indexes: tuple[tuple[str, ...], ...] = ()
+    #: Array columns of which each element is an index entry of the row.
+    multi_entry: tuple[str, ...] = ()
     column_names: dict[str, str] = field(default_factory=dict)
     not_mapped: frozenset[str] = frozenset()
     databases: tuple[DatabaseRef, ...] = (DatabaseRef("default"),)
@@ -53,7 +55,7 @@ class TableDef:
     @property
     def indexed(self) -> frozenset[str]:
         """Columns with an index of their own or as members of a compound one; the key counts."""
-        return frozenset((*self.primary_key, *self.indexes, *self.unique, *(c for x in self.compound_indexes for c in x)))
+        return frozenset((*self.primary_key, *self.indexes, *self.unique, *self.multi_entry, *(c for x in self.compound_indexes for c in x)))
 
     def store_schema(self) -> dict:
         """What the catalogue keeps of this table, as plain JSON."""
@@ -64,6 +66,7 @@ class TableDef:
             "auto_increment": self.auto_increment,
             "indexes": list(self.indexes),
             "unique": list(self.unique),
+            "multi_entry": list(self.multi_entry),
             "compound_indexes": [list(x) for x in self.compound_indexes],
         }
 
@@ -93,10 +96,12 @@ class TableDef:
         if self.auto_increment and single:
             kind = self.schema[self.primary_key[0]].dataType
             need(isinstance(kind, T.IntegralType), "an auto-incremented key must be an integer")
+        for c in self.multi_entry:
+            need(isinstance(self.schema[c].dataType, T.ArrayType), f"multi-entry index {c} is no array")
         for x in self.compound_indexes:
             need(len(set(x)) >= 2 and len(set(x)) == len(x), "a compound index needs two or more different columns")
         need(len({tuple(sorted(x)) for x in self.compound_indexes}) == len(self.compound_indexes), "a compound index is defined twice")
-        role = [*self.indexes, *self.unique]
+        role = [*self.indexes, *self.unique, *self.multi_entry]
         need(len(set(role)) == len(role), "a column has more than one index of its own")
         return self
 

@@ -3,7 +3,8 @@ from people import PERSON, rows
 from pyspark.sql import types as T
 
 from keystrata import DatabaseRef, Engine, Registry, SchemaError, TableDef, field
-from keystrata.sources.store import KeyExists, numbered
+from keystrata.operators.query import Query
+from keystrata.sources.store import Conflict, KeyExists, KeyMissing, numbered
 
 CAR = TableDef("car", T.StructType([T.StructField("Created", T.DateType(), False), T.StructField("Brand", T.StringType())]), ("Created",), databases=(DatabaseRef("garage"),))
 PAIR = TableDef("pair", T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.StringType()), T.StructField("v", T.DoubleType())]), ("a", "b"))
@@ -76,11 +77,91 @@ def test_readers_keep_their_snapshot(engine):
     assert before.count() == 48
 
 
-def test_a_second_writer_fails(engine):
+def test_of_two_writers_that_read_the_same_version_one_fails(engine, monkeypatch):
+    t, other = engine.table("pair"), engine.table("pair")
+    t.add_range([{"a": k, "b": "x", "v": 1.0} for k in range(5)])
+    writes = [
+        lambda w: w.delete_range([{"a": 0, "b": "x"}]), lambda w: w.add({"a": 90, "b": "x"}), lambda w: w.put([{"a": 1, "b": "x", "v": 3.0}]), lambda w: w.update({"a": 1, "b": "x", "v": 4.0}),
+        lambda w: w.modify(field("a") == 2, {"v": 9.0}), lambda w: w.delete_where(field("a") == 3), lambda w: w.update_many([{"a": 4, "b": "x", "v": 2.0}]), lambda w: w.clear(),
+    ]
+    for n, write in enumerate(writes):
+        seen = t.snapshot()
+        other.put([{"a": 100 + n, "b": "y", "v": 1.0}])
+        with monkeypatch.context() as m:
+            m.setattr(t, "snapshot", lambda seen=seen: seen)
+            with pytest.raises(Conflict):
+                write(t)
+        assert t.query().get(100 + n, "y") is not None
+    assert t.query().count() == 5 + len(writes) and {r["v"] for r in t.df().collect()} == {1.0}
+
+
+def test_a_row_rewrites_the_one_file_that_holds_it(engine):
+    t = engine.table("pair")
+    for n in range(4):
+        t.add_range([{"a": 10 * n + k, "b": "x", "v": 1.0} for k in range(10)])
+    before = t.snapshot().files
+    for write, n in ((lambda: t.update({"a": 25, "b": "x", "v": 5.0}), 2), (lambda: t.put([{"a": 3, "b": "x", "v": 6.0}]), 2), (lambda: t.modify(field("a") == 37, {"v": 7.0}), 1), (lambda: t.delete({"a": 12, "b": "x"}), 1), (lambda: t.put([{"a": 99, "b": "x"}]), 1)):
+        old = set(t.snapshot().files)
+        write()
+        new = set(t.snapshot().files)
+        assert len(new - old) <= n and len(old - new) <= 1
+    assert len(before) == 4 and t.query().count() == 40 and sorted(r["v"] or 0 for r in t.df().collect())[-3:] == [5.0, 6.0, 7.0]
+
+
+def test_rows_without_a_key_are_refused(engine):
+    t = engine.table("pair")
+    for write in (lambda: t.add({"a": 1}), lambda: t.add_range([{"a": 1, "b": "x"}, {"b": "y"}]), lambda: t.put([{"b": "x"}]), lambda: t.update_many([{"a": 1}])):
+        with pytest.raises(KeyMissing):
+            write()
+    assert t.query().count() == 0 and t.update({"a": None, "b": "x"}) == 0
+    people = engine.table("person")
+    people.put([{"guid": "a"}, {"guid": "b", "_id": 7}])
+    assert ids(people) == [7, 8]
+
+
+def test_unique_values_hold_on_every_write(engine):
     t = engine.table("person")
-    t.add({"guid": "1"})
-    with pytest.raises(FileExistsError):
-        engine.files.create(f"{t.path}/_manifests/{0:012d}.json", "{}")
+    t.add_range([{"_id": k, "guid": f"g{k}"} for k in range(1, 5)])
+    for write in (
+        lambda: t.put([{"_id": 1, "guid": "g2"}]), lambda: t.put([{"_id": 9, "guid": "n"}, {"_id": 10, "guid": "n"}]), lambda: t.update({"_id": 1, "guid": "g3"}),
+        lambda: t.modify(field("_id") == 1, {"guid": "g4"}), lambda: t.modify(field("_id") < 3, {"guid": "same"}), lambda: t.update_many([{"_id": 1, "guid": "g2"}]), lambda: t.add({"guid": "g1"}),
+    ):
+        with pytest.raises(KeyExists):
+            write()
+    assert t.put([{"_id": 1, "guid": "g1", "Name": "own value stays"}]) == 1 and t.modify(field("_id") == 1, {"guid": "new"}) == 1 and t.put([{"_id": 6}, {"_id": 7}]) == 2
+    assert sorted(r["guid"] or "" for r in t.df().collect()) == ["", "", "g2", "g3", "g4", "new"]
+
+
+def test_changes_by_key(engine):
+    t = engine.table("person")
+    t.add_range([{"_id": k, "guid": f"g{k}", "Name": "n", "Age": k} for k in range(1, 5)])
+    assert t.update_many([{"_id": 1, "Name": "x"}, {"Id": 2, "YearsOld": None}, {"_id": 1, "Age": 50}, {"_id": 99, "Name": "absent"}]) == 2
+    assert [(r["Name"], r["Age"]) for r in t.df().orderBy("_id").collect()] == [("x", 50), ("n", None), ("n", 3), ("n", 4)]
+    assert t.update_many([]) == 0 and t.update_many([{"_id": 99}]) == 0
+
+
+def test_a_dict_means_equal_values(engine):
+    t = engine.table("pair")
+    t.add_range([{"a": k, "b": "xy"[k % 2], "v": float(k // 2)} for k in range(8)])
+    assert [r["a"] for r in t.query().where({"b": "y", "v": 1.0}).to_list()] == [3]
+    assert len(t.query().where({}).to_list()) == 8 and t.delete_where({"v": 3.0}) == 2
+
+
+def test_multi_entry_index(spark):
+    schema = T.StructType([T.StructField("k", T.IntegerType(), False), T.StructField("tags", T.ArrayType(T.StringType()))])
+    df = spark.createDataFrame([(1, ["a", "b"]), (2, ["b", None]), (3, None), (4, [])], schema)
+    q = Query(TableDef("t", schema, ("k",), multi_entry=("tags",)).validate(), lambda: df)
+    assert sorted(r.tags for r in q.keys("tags").collect()) == ["a", "b", "b"] and sorted(r.tags for r in q.keys("tags", unique=True).collect()) == ["a", "b"]
+    assert [r.k for r in q.where(field("tags").has("b")).to_list()] == [1, 2]
+    with pytest.raises(SchemaError):
+        TableDef("t", schema, ("k",), multi_entry=("k",)).validate()
+
+
+def test_deleting_all_spares_other_folders(engine):
+    engine.create_databases()
+    engine.files.make(f"{engine.root}/no database")
+    engine.delete_all()
+    assert engine.files.names(engine.root) == ["no database"]
 
 
 def test_dense_numbers(spark):
