@@ -4,7 +4,7 @@ Labels exist for whole documents only. Words of toxic documents whose spelling (
 its end) occurs in toxic documents far beyond chance, and hardly ever in others, are the labelled tokens of
 the training lines. The field has two states, hashed spelling features and transitions, and is fitted by
 full-batch gradient steps on a bounded sample of labelled rows (``positives`` and ``negatives`` documents at
-most, by a hash of their id). Scoring covers every token of every text: forward-backward marginals per line,
+most and ``most_bytes`` of text, by a hash of their id; one row an id). Scoring covers every token of every text: forward-backward marginals per line,
 then per document the two greatest and the expected number of toxic tokens, mapped to 0..1 by a logistic
 regression fitted on the same sample.
 
@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keystrata.llm.text import returning, slices, text_or_empty
+from keystrata.sources.shared import fresh_folder
 
 TOKEN = re.compile(r"\w+")
 BITS = 20
@@ -303,15 +304,16 @@ class Scorer:
 
 
 def spans(text: str, marginals: np.ndarray, least: float = 0.5) -> list[dict]:
-    """Places (code points of the lower-cased text) of tokens at least so likely toxic."""
+    """Places (code points of the text as it is) of tokens at least so likely toxic."""
     hot = np.flatnonzero(marginals >= least)
     if not len(hot):
         return []
-    wanted, out = set(hot.tolist()), []
+    wanted, out, low = set(hot.tolist()), [], text.lower()
+    at = range(len(text) + 1) if len(low) == len(text) else np.repeat(np.arange(len(text)), [len(c.lower()) for c in text]).tolist()
     k = 0
-    for m in TOKEN.finditer(text.lower()):
+    for m in TOKEN.finditer(low):  # a letter's small form may be several characters
         if k in wanted:
-            out.append({"start": m.start(), "end": m.end(), "marginal": float(marginals[k])})
+            out.append({"start": at[m.start()], "end": at[m.end() - 1] + 1, "marginal": float(marginals[k])})
         k += 1
     return out
 
@@ -348,15 +350,28 @@ def held_out(column: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string")), F.lit(3)) == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, positives: int = 2000, negatives: int = 4000) -> Field:
-    """Fits on at most so many labelled documents of each class, chosen by a hash of the id."""
+def train(docs: DataFrame, labels: DataFrame, positives: int = 2000, negatives: int = 4000, most_bytes: int = 64 << 20) -> Field:
+    """Fits on at most so many labelled documents of each class and so many bytes of text, chosen by a hash of the id.
+
+    Of rows that repeat an id one counts, that with the smallest text. The sample is written to the shared
+    folder, and only what keeps to the bounds comes to the driver.
+    """
+    spark = docs.sparkSession
     usable = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = usable.filter("y = 1").orderBy(*order).limit(positives).unionByName(usable.filter("y = 0").orderBy(*order).limit(negatives))
     chosen = F.broadcast(chosen.withColumnRenamed("doc_id", "chosen_id"))  # at most positives + negatives rows of two numbers
-    rows = docs.select(F.col("doc_id"), text_or_empty().alias("text")).join(chosen, F.col("doc_id") == F.col("chosen_id")).select("y", "text", "doc_id")
-    sample = sorted(rows.collect(), key=lambda r: (r.doc_id, r.text))
-    return fit([r.text for r in sample], [r.y for r in sample])
+    rows = docs.select(F.col("doc_id"), text_or_empty().alias("text")).join(chosen, F.col("doc_id") == F.col("chosen_id"))
+    folder = fresh_folder(spark, "toxicity")
+    rows.groupBy("doc_id").agg(F.max("y").alias("y"), F.min("text").alias("text")).write.parquet(folder)
+    sample = spark.read.parquet(folder)
+    taken, room = [], most_bytes
+    for r in sample.select("doc_id", "y", F.octet_length("text").alias("bytes"), F.xxhash64("doc_id").alias("place")).orderBy("place", "doc_id").collect():
+        if r.bytes <= room:
+            taken.append(r.doc_id)
+            room -= r.bytes
+    got = sorted((r for r in sample.filter(F.col("doc_id").isin(taken)).collect()), key=lambda r: r.doc_id) if taken else []
+    return fit([r.text for r in got], [r.y for r in got])
 
 
 _SCORED = "doc_id long, held_out boolean, score double, predicted int, spans array<struct<start:int,end:int,marginal:double>>"

@@ -1,5 +1,6 @@
 import itertools
 import math
+import re
 import zlib
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from conftest_llm import EDGE
 
 from keystrata.llm.text import read_table
-from keystrata.llm.toxicity import Field, drop_toxic, evidence, fit, forward_backward, lines_of, score_toxicity, spans, train
+from keystrata.llm.toxicity import Field, drop_toxic, evidence, fit, forward_backward, lines_of, score_toxicity, spans, spellings, train
 
 SF = "/root/testdata/sf0.1"
 
@@ -90,6 +91,49 @@ def test_no_labels_and_no_rows(spark, make_docs):
     assert score_toxicity(make_docs([]), Field()).collect() == [] and drop_toxic(make_docs([]), Field()).collect() == []
 
 
+def brute_score(model, text):
+    """A document's score, token by token and path by path in plain Python."""
+    marginals = []
+    for line in text.lower().split("\n"):
+        words = re.findall(r"\w+", line)
+        scores = [sum(float(model.weights[1 + (zlib.crc32(x.encode()) & ((1 << 20) - 1))]) for x in spellings(w)) + float(model.weights[(1 << 20) + 1]) for w in words]
+        total, ones = 0.0, [0.0] * len(words)
+        for path in itertools.product((0, 1), repeat=len(words)):
+            weight = math.exp(sum(s for s, y in zip(scores, path, strict=True) if y) + sum(model.moves[a][b] for a, b in itertools.pairwise(path)))
+            total += weight
+            ones = [o + weight * y for o, y in zip(ones, path, strict=True)]
+        marginals += [o / total for o in ones]
+    second, first = (math.log(x / (1 - x)) for x in (min(max(p, 1e-7), 1 - 1e-7) for p in sorted([0.0, 0.0, *marginals])[-2:]))
+    z = sum(w * x for w, x in zip(model.logistic, [1.0, first, second, math.log1p(sum(marginals))], strict=True))
+    return 1 / (1 + math.exp(-min(max(z, -30.0), 30.0)))
+
+
+def test_scores_against_brute_force(make_docs, model):
+    texts = ["", " ", "you idiot", "a calm word\nstupid moron here\n\nend", "İİ idiot ß", "tab\tidiot\nidiot idiot", None, "x y z one two three four five six"]
+    got = score_toxicity(make_docs(list(enumerate(texts))), model).collect()
+    for r in got:
+        assert r.score == pytest.approx(brute_score(model, texts[r.doc_id] or ""), rel=1e-5, abs=1e-9)
+
+
+def test_spans_are_places_in_the_text_as_it_is():
+    text = "İİİ bad, ẞİx Bad"
+    low = re.findall(r"\w+", text.lower())
+    found = spans(text, np.array([float(w == "bad") for w in low]))
+    assert [text[x["start"] : x["end"]] for x in found] == ["bad", "Bad"]
+
+
+def test_the_sample_is_bounded(spark, make_docs):
+    rows = [(k, f"vile{k} " * 50 if k % 4 == 0 else f"fine words {k}") for k in range(200)] + [(4, "vile again")] * 300
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(200)], "doc_id long, toxic int")
+    seen = []
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr("keystrata.llm.toxicity.fit", lambda texts, toxic: seen.append((texts, toxic)) or Field())
+        train(make_docs(rows), labels, positives=20, negatives=30)
+        train(make_docs(rows), labels, positives=20, negatives=30, most_bytes=2000)
+    assert sum(seen[0][1]) <= 20 and len(seen[0][1]) <= 50 and len(set(seen[0][0])) == len(seen[0][0])
+    assert 0 < sum(len(t.encode()) for t in seen[1][0]) <= 2000
+
+
 def test_fit_is_deterministic():
     texts = [f"good text number {k}" for k in range(80)] + [f"vile word{k} here" for k in range(20)]
     a, b = (fit(texts, [0] * 80 + [1] * 20) for _ in range(2))
