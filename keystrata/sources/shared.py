@@ -26,3 +26,10 @@ def shared_root(spark: SparkSession) -> str:
 def fresh_folder(spark: SparkSession, name: str) -> str:
     """A new path below the shared root."""
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Removes folders below the shared root that no result reads any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for p in paths:
+        path(p).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path(p), True)
