@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from keystrata.llm.skew import each_salt, salt_bits, salt_of
 from keystrata.llm.text import returning
-from keystrata.sources.shared import fresh_folder
+from keystrata.sources.shared import discard, fresh_folder
 
 #: Nodes that a task holds at once while it contracts its edges.
 HELD = 500_000
@@ -72,6 +72,8 @@ def components(spark: SparkSession, edges: DataFrame, most_rounds: int = 60) ->
         jump = jump.select("label", "further", each_salt("present").alias("salt"))
         moved = stepped.withColumn("salt", salt_of("node")).join(jump, ["label", "salt"])
         moved.select("node", "salts", F.least("label", "further").alias("label"), "old").write.parquet(f"{folder}/{k + 1}")
+        discard(spark, f"{folder}/{k}-stepped", f"{folder}/{k}")
         if spark.read.parquet(f"{folder}/{k + 1}").filter("label <> old").isEmpty():
+            discard(spark, f"{folder}/edges")
             return spark.read.parquet(f"{folder}/{k + 1}").select("node", "label")
     raise RuntimeError(f"no fixed point after {most_rounds} rounds")

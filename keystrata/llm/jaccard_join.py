@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from keystrata.llm.components import components
 from keystrata.llm.skew import each_salt, meet, salt_bits, salt_of
 from keystrata.llm.text import free_names, returning, slices, spread, text_or_empty
-from keystrata.sources.shared import fresh_folder
+from keystrata.sources.shared import discard, fresh_folder
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -263,6 +263,7 @@ def _grouped(spark: SparkSession, docs: DataFrame, n: int, threshold: float) ->
     sides = tasks.select("low", "high", F.explode(F.array_distinct(F.array("low", "high"))).alias("block"))
     dealt = sides.join(contents, "block").repartition(spread(docs, spark), "low", "high")
     links = kept(dealt.groupBy("low", "high").applyInPandas(_links(threshold), "cid long, links long, root long"), "links")
+    discard(spark, *(f"{folder}/{x}" for x in ("shared", "blocks", "wanted", "contents")))
     counts = links.groupBy("cid").agg(F.sum("links").alias("links"))
     linked = components(spark, links.select(F.col("cid").alias("a"), F.col("root").alias("b")).filter("a <> b"))
     named = classes.drop("bands").join(counts, "cid", "left").join(linked.select(F.col("node").alias("cid"), "label"), "cid", "left")

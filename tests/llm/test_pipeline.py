@@ -67,6 +67,23 @@ def test_tokens_are_read_back(stages):
     assert sorted((tuple(r) for r in stages[5].collect()), key=lambda r: r[1]) == brute_tokens(rows(stages[4]))
 
 
+CLASHING = "__key __id key id_ mix_id MIX_WORDS hub band cid label set_key y chosen_id text_ bytes shard start".split()
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_stages_take_clashing_names_long_texts_and_empty_tables(spark, stage):
+    name, run = corpus_pipeline.STAGES[stage]
+    long = " ".join(f"w{k}" for k in range(200_000))
+    rows = [(1, "a short text of a few words", "s"), (1, "a short text of a few words", "s"), (2, None, None), (3, long, "s"), (None, "", "t"), (4, "one more text that stands alone here", "t")]
+    docs = spark.createDataFrame([(*r, *CLASHING) for r in rows], "doc_id long, text string, source string, " + ", ".join(f"{c} string" for c in CLASHING))
+    out, none = run(spark, docs, SF), run(spark, docs.limit(0), SF)
+    got = out.collect()
+    assert none.collect() == [] and len(got) > 0
+    if name != "tokens":
+        assert out.columns == docs.columns and all(tuple(r)[3:] == tuple(CLASHING) for r in got)
+        assert any(r.text == long for r in got)
+
+
 def test_run_over_documents(spark):
     got = corpus_pipeline.run(spark, SF)
     assert got.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and got.count() > 50
