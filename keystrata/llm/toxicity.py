@@ -24,7 +24,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keystrata.llm.text import returning, slices, text_or_empty
@@ -77,7 +77,7 @@ class _Spelled:
 
     def __init__(self, texts: list[list[list[str]]]) -> None:
         number: dict[str, int] = {}
-        self.texts = [np.array([number.setdefault(w, len(number)) for line in text for w in line], np.int64) for text in texts]
+        self.texts = [np.array([number.setdefault(w, len(number)) for line in text for w in line], np.int32) for text in texts]
         self.words = list(number)
         self.table = np.zeros((len(self.words), WIDTH), np.int64)
         for k, w in enumerate(self.words):
@@ -90,14 +90,27 @@ class _Spelled:
         return found[found != 0], n[found != 0]
 
 
+def _tried(spelled: _Spelled, ones: list[int], together: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The spellings of the toxic texts, and in how many each occurs once or more and twice or more; a few texts at a time."""
+    keys, counts = np.zeros(0, np.int64), np.zeros((2, 0), np.int32)
+    for k in range(0, len(ones), together):
+        each = [spelled.counts(i) for i in ones[k : k + together]]
+        found, which, n = np.unique(np.concatenate([f for f, _ in each]), return_inverse=True, return_counts=True)
+        again = np.bincount(which[np.concatenate([n > 1 for _, n in each])], minlength=len(found))
+        at = np.searchsorted(keys, found)
+        new = np.ones(len(found), bool)
+        new[at < len(keys)] = keys[at[at < len(keys)]] != found[at < len(keys)]
+        counts[0, at[~new]] += n[~new].astype(np.int32)
+        counts[1, at[~new]] += again[~new].astype(np.int32)
+        keys = np.insert(keys, at[new], found[new])
+        counts = np.insert(counts, at[new], np.stack([n[new], again[new]]).astype(np.int32), axis=1)
+    return keys, counts[0], counts[1]
+
+
 def _levels(spelled: _Spelled, toxic: list[int]) -> tuple[dict[str, tuple[int, int]], Callable[[int, int, int], bool]]:
     """Spellings that stand out, each with how many other texts have them and how much rarer they have to be there."""
     ones = [k for k, y in enumerate(toxic) if y]
-    each = [spelled.counts(k) for k in ones]
-    tried, once = np.unique(np.concatenate([f for f, _ in each]), return_counts=True)
-    twice = np.zeros(len(tried), np.int64)
-    for found, n in each:
-        twice[np.searchsorted(tried, found[n > 1])] += 1
+    tried, once, twice = _tried(spelled, ones)
     limit = math.log(0.05) - math.log(max(1, 2 * len(tried)))
     enough = once >= 3
     keys, counts = tried[enough], (once[enough], twice[enough])
@@ -119,7 +132,9 @@ def _levels(spelled: _Spelled, toxic: list[int]) -> tuple[dict[str, tuple[int, i
         for j in np.flatnonzero((counts[level] >= 3) & (others[level] * least <= counts[level])).tolist():
             if int(keys[j]) not in good and holds(int(counts[level][j]), int(others[level, j]), least):
                 good[int(keys[j])] = int(others[level, j]), least
-    marked = np.isin(spelled.table, np.array(list(good), np.int64)).any(1)
+    wanted, marked = np.array(list(good), np.int64), np.zeros(len(spelled.table), bool)
+    for column in spelled.table.T:
+        marked |= np.isin(column, wanted)
     return {s: good[hash(s)] for k in np.flatnonzero(marked).tolist() for s in spellings(spelled.words[k]) if hash(s) in good}, holds
 
 
@@ -365,14 +380,12 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 2000, negatives:
     folder = fresh_folder(spark, "toxicity")
     rows.groupBy("doc_id").agg(F.max("y").alias("y"), F.min("text").alias("text")).write.parquet(folder)
     sample = spark.read.parquet(folder)
-    taken, room = [], most_bytes
-    for r in sample.select("doc_id", "y", F.octet_length("text").alias("bytes"), F.xxhash64("doc_id").alias("place")).orderBy("place", "doc_id").collect():
-        if r.bytes <= room:
-            taken.append(r.doc_id)
-            room -= r.bytes
-    got = sorted((r for r in sample.filter(F.col("doc_id").isin(taken)).collect()), key=lambda r: r.doc_id) if taken else []
-    return fit([r.text for r in got], [r.y for r in got])
-
+    so_far = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    kept = sample.select("doc_id", F.sum(F.octet_length("text")).over(so_far).alias("bytes")).filter(F.col("bytes") <= most_bytes).select("doc_id")
+    got = sorted((r.doc_id, r.text, r.y) for r in sample.join(F.broadcast(kept), "doc_id", "left_semi").toLocalIterator())
+    texts, toxic = [x[1] for x in got], [x[2] for x in got]
+    del got
+    return fit(texts, toxic)
 
 _SCORED = "doc_id long, held_out boolean, score double, predicted int, spans array<struct<start:int,end:int,marginal:double>>"
 _SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("marginal", pa.float64())]))
