@@ -11,7 +11,7 @@ import corpus_pipeline
 from keystrata.llm.decontaminate import contaminations
 from keystrata.llm.exact_dedup import exact_groups
 from keystrata.llm.jaccard_join import jaccard_links
-from keystrata.llm.licences import TEMPLATES, THRESHOLD, scan_licences
+from keystrata.llm.licences import MOST_LINES, TEMPLATES, THRESHOLD, scan_licences
 from keystrata.llm.line_dedup import dedup_lines
 from keystrata.llm.main_text import extract_main_text
 from keystrata.llm.mixing import mix_sources
@@ -182,34 +182,36 @@ def _licence_sql() -> str:
     ), d AS (
         SELECT doc_id, coalesce(source, '_') || '/' || coalesce(lang, '_') || '/' || coalesce(CAST(doc_id AS VARCHAR), '_') AS path, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
     ), l AS (
-        SELECT doc_id, path, unnest(range(len(lines))) AS line_no, unnest(lines) AS line FROM d
-    ), w AS (
-        SELECT path, line_no, unnest({split.format("line")}) AS term FROM l
-    ), k AS (
-        SELECT path, line_no, term, count(*) AS c FROM w WHERE term IN (SELECT term FROM tt) GROUP BY ALL
+        SELECT path, unnest(range(len(lines))) AS line_no, unnest(lines) AS line FROM d
+    ), df AS (
+        SELECT term, count(*) AS n FROM (SELECT unnest(list_distinct({split.format("line")})) AS term FROM l) GROUP BY term
     ), idf AS (
-        SELECT term, ln(((SELECT count(*) FROM l) + 1) / (count(k.path) + 1)::DOUBLE) AS idf FROM (SELECT DISTINCT term FROM tt) LEFT JOIN k USING (term) GROUP BY term
+        SELECT term, ln(((SELECT count(*) FROM l) + 1) / (coalesce(n, 0) + 1)::DOUBLE) AS idf FROM (SELECT DISTINCT term FROM tt) FULL JOIN df USING (term)
+    ), u AS (
+        SELECT path, lines, n_lines, unnest(range(len(lines) - n_lines + 1)) AS line_no FROM d, range(1, {MOST_LINES} + 1) r(n_lines) WHERE n_lines <= len(lines)
+    ), w AS (
+        SELECT path, line_no, n_lines, unnest({split.format("array_to_string(lines[line_no + 1:line_no + n_lines], chr(10))")}) AS term FROM u
     ), tw AS (
         SELECT licence, template, term, (1 + ln(c)) * idf AS weight FROM tc JOIN idf USING (term)
     ), tn AS (
         SELECT licence, template, sqrt(sum(weight * weight)) AS norm FROM tw GROUP BY ALL
     ), kw AS (
-        SELECT path, line_no, term, (1 + ln(c)) * idf AS weight FROM k JOIN idf USING (term)
+        SELECT path, line_no, n_lines, term, (1 + ln(count(*))) * any_value(idf) AS weight FROM w JOIN idf USING (term) GROUP BY ALL
     ), kn AS (
-        SELECT path, line_no, sqrt(sum(weight * weight)) AS norm FROM kw GROUP BY ALL
+        SELECT path, line_no, n_lines, sqrt(sum(weight * weight)) AS norm FROM kw GROUP BY ALL
     ), s AS (
-        SELECT kw.path, kw.line_no, tw.licence, round(sum(kw.weight * tw.weight / tn.norm) / any_value(kn.norm), 6) AS score
-        FROM kw JOIN tw USING (term) JOIN tn ON tw.licence = tn.licence AND tw.template = tn.template JOIN kn ON kw.path = kn.path AND kw.line_no = kn.line_no
-        WHERE tn.norm > 0 AND kn.norm > 0 GROUP BY kw.path, kw.line_no, tw.licence, tw.template
+        SELECT path, line_no, n_lines, licence, round(sum(kw.weight * tw.weight / tn.norm) / any_value(kn.norm), 6) AS score
+        FROM kw JOIN tw USING (term) JOIN tn USING (licence, template) JOIN kn USING (path, line_no, n_lines)
+        WHERE tn.norm > 0 AND kn.norm > 0 GROUP BY path, line_no, n_lines, licence, template
     ), own AS (
-        SELECT path, score, line_no, licence AS own_licence FROM s WHERE score >= {THRESHOLD}
-        QUALIFY row_number() OVER (PARTITION BY path ORDER BY score DESC, line_no, licence) = 1
+        SELECT path, score, line_no, n_lines, licence AS own_licence FROM s WHERE score >= {THRESHOLD}
+        QUALIFY row_number() OVER (PARTITION BY path ORDER BY score DESC, n_lines, line_no, licence) = 1
     ), votes AS (
         SELECT regexp_replace(path, '/[^/]*$', '') AS dir, own_licence, count(*) AS n FROM own GROUP BY ALL
     ), dirs AS (
         SELECT dir, own_licence AS dir_licence FROM votes QUALIFY row_number() OVER (PARTITION BY dir ORDER BY n DESC, own_licence) = 1
     )
-    SELECT doc_id, own_licence, score, line_no, coalesce(own_licence, dir_licence) AS licence, CASE WHEN own_licence IS NULL THEN dir END AS inherited_from
+    SELECT doc_id, own_licence, score, line_no, n_lines, coalesce(own_licence, dir_licence) AS licence, CASE WHEN own_licence IS NULL THEN dir END AS inherited_from
     FROM d LEFT JOIN own USING (path) LEFT JOIN dirs ON dir = regexp_replace(d.path, '/[^/]*$', '')
     """
 

@@ -1,15 +1,19 @@
 """Licences of files by sparse TF-IDF cosine to templates, then inheritance along the path. DataFrame functions only.
 
-Every line of every file (and, of a licence file, also its whole text) is a vector over the templates' terms;
-a term weighs (1 + ln tf) * idf, with idf = ln((lines + 1) / (lines with the term + 1)) over all lines of all
-files. The line with the greatest cosine to a template decides, if it reaches ``threshold``. Before scoring,
-lines without any strong term are left out: terms are weak as long as a line of weak terms alone can't reach
-the threshold with any template, so that no line is lost.
+Every window of up to ``MOST_LINES`` consecutive lines of every file (and, of a licence file, also its whole text) is
+a vector over all its terms, so a notice may be wrapped and ordinary prose that shares a few terms with a template
+stays far from it. A term weighs (1 + ln tf) * idf, with idf = ln((lines + 1) / (lines with the term + 1)) over all
+lines of all files. The window with the greatest cosine to a template decides, if it reaches ``threshold`` (ties: the
+fewest lines, then the earliest, then the licence by name). Before scoring, windows without any strong term are left
+out: terms are weak as long as weak terms alone can't reach the threshold with any template, so no window is lost.
 
 A directory's licence is the one that most of its licence files name; if it has none and ``by_header`` is set,
 the one that most of its files' lines name (ties by name). A file without a licence of its own takes that of
 its nearest ancestor directory that has one.
 
+Line counts per term, the terms of the windows left and the files' own licences are tables in the shared folder; the
+first two go once the third is written. Frequent terms meet their counts under salted keys.
+
 Defined results: a null text counts as empty, a null path as the root directory's nameless file; files without any
 licence around have nulls. Rows that repeat path and text have equal results. An empty table gives no rows;
 other columns are ignored. Only counts of the templates' terms (fewer than ``MOST_TERMS``) reach the driver.
@@ -24,19 +28,25 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keystrata.llm.skew import meet
 from keystrata.llm.text import text_or_empty
+from keystrata.sources.shared import discard, fresh_folder
 
 # Usual titles and notices of licences, in the words of their publishers.
 TEMPLATES: dict[str, list[str]] = {
+    "AGPL-3.0": ["GNU Affero General Public License Version 3, 19 November 2007"],
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0", "Apache License Version 2.0, January 2004"],
+    "BSD-2-Clause": ["BSD 2-Clause License"],
     "BSD-3-Clause": ["BSD 3-Clause License", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
     "CC-BY-4.0": ["Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
     "CC0-1.0": ["CC0 1.0 Universal Public Domain Dedication"],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2", "GNU General Public License Version 2, June 1991"],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3", "GNU General Public License Version 3, 29 June 2007"],
+    "EPL-2.0": ["Eclipse Public License v 2.0"],
+    "GPL-2.0": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version", "This work is licensed under the GNU General Public License, version 2", "GNU General Public License Version 2, June 1991"],
+    "GPL-3.0": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version", "This work is licensed under the GNU General Public License, version 3", "GNU General Public License Version 3, 29 June 2007"],
     "ISC": ["Released under the ISC License", "ISC License"],
+    "LGPL-2.1": ["GNU Lesser General Public License Version 2.1, February 1999"],
     "LGPL-3.0": ["GNU Lesser General Public License Version 3, 29 June 2007"],
     "MIT": ["Released under the MIT License", "MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "Mozilla Public License Version 2.0"],
@@ -44,12 +54,15 @@ TEMPLATES: dict[str, list[str]] = {
 }
 LICENCE_FILE = r"(?i)^(licen[sc]e|copying|unlicense|notice)([._-].*)?$"
 THRESHOLD = 0.75
+#: The longest notice among the templates takes four lines of 70 characters.
+MOST_LINES = 4
 MOST_TERMS = 1000
+SEPARATOR = "[^a-z0-9]+"
 SALTS = 32
 
 
 def terms_of(text: str) -> list[str]:
-    return [t for t in re.split(r"[^a-z0-9]+", text.lower()) if t]
+    return [t for t in re.split(SEPARATOR, text.lower()) if t]
 
 
 def vocabulary() -> list[str]:
@@ -59,23 +72,42 @@ def vocabulary() -> list[str]:
     return out
 
 
-def _units(files: DataFrame) -> DataFrame:
-    """(path, content, line_no, terms): template terms of every line, and as line -1 of a licence file's whole text."""
+def _line_counts(files: DataFrame) -> DataFrame:
+    """(term, lines): lines with the term; the empty term counts all lines."""
+    lines = files.select(F.explode(F.split("text", "\n")).alias("line"))
+    terms = F.array_distinct(F.concat(F.array(F.lit("")), F.split(F.lower("line"), SEPARATOR)))
+    return lines.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("lines"))
+
+
+def _holds(text: Column, strong: set[str]) -> Column:
+    """Whether one of the terms is in the text."""
+    return F.lower(text).rlike(f"(^|[^a-z0-9])({'|'.join(sorted(strong))})([^a-z0-9]|$)") if strong else F.lit(False)
+
+
+def _window_terms(files: DataFrame, strong: set[str]) -> DataFrame:
+    """(path, content, line_no, n_lines, term, tf) of the windows that hold a strong term; line -1 is a licence file's whole text."""
+    rows = files.filter(_holds(F.col("text"), strong)).select("path", F.xxhash64("text").alias("content"), "text").dropDuplicates(["path", "content"])
     named = F.element_at(F.split("path", "/"), -1).rlike(LICENCE_FILE)
-    lines = F.split("text", "\n")
-    parts = F.when(named, F.concat(lines, F.array("text"))).otherwise(lines)
-    each = files.select("path", F.xxhash64("text").alias("content"), F.size(lines).alias("n"), F.posexplode(parts).alias("line_no", "line"))
-    known = vocabulary()
-    found = F.filter(F.split(F.lower("line"), "[^a-z0-9]+"), lambda t: t.isin(known))
-    return each.select("path", "content", F.when(F.col("line_no") == F.col("n"), -1).otherwise(F.col("line_no")).alias("line_no"), found.alias("terms"))
-
-
-def _weights(files: DataFrame) -> tuple[dict[str, float], list[tuple[str, int, str, float]], set[str]]:
-    """idf per term, template vectors of length one, and the strong terms."""
-    units = _units(files).filter("line_no >= 0")
-    # The empty term counts the lines themselves.
-    counted = units.select(F.explode(F.concat(F.array(F.lit("")), F.array_distinct("terms"))).alias("term")).groupBy("term").count().collect()
-    df = {r["term"]: r["count"] for r in counted}
+    rows = rows.select("path", "content", "text", F.split("text", "\n").alias("lines"), named.alias("named"))
+    n = F.size("lines")
+
+    def window(first: Column, size: Column, text: Column) -> Column:
+        return F.struct(first.cast("int").alias("line_no"), size.cast("int").alias("n_lines"), text.alias("text"))
+
+    def of_size(size: int) -> Column:
+        firsts = F.when(n >= size, F.sequence(F.lit(1), n - size + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(firsts, lambda k: window(k - 1, F.lit(size), F.array_join(F.slice("lines", k, F.lit(size)), "\n")))
+
+    whole = F.when(F.col("named"), F.array(window(F.lit(-1), n, F.col("text")))).otherwise(F.array().cast("array<struct<line_no:int,n_lines:int,text:string>>"))
+    windows = F.concat(whole, *(of_size(k + 1) for k in range(MOST_LINES)))
+    each = rows.select("path", "content", F.inline(windows)).filter(_holds(F.col("text"), strong))
+    key = ["path", "content", "line_no", "n_lines"]
+    return each.select(*key, F.explode(F.split(F.lower("text"), SEPARATOR)).alias("term")).filter("term <> ''").groupBy(*key, "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def _weights(counts: DataFrame) -> tuple[int, list[tuple[str, int, str, float]], set[str]]:
+    """The number of lines, template vectors of length one, and the strong terms."""
+    df = {r["term"]: r["lines"] for r in counts.filter(F.col("term").isin(["", *vocabulary()])).collect()}
     n = df.pop("", 0)
     idf = {t: math.log((n + 1) / (df.get(t, 0) + 1)) for t in vocabulary()}
     vectors, shares = [], []
@@ -93,25 +125,31 @@ def _weights(files: DataFrame) -> tuple[dict[str, float], list[tuple[str, int, s
             strong.discard(t)
         else:
             break
-    return idf, vectors, strong
+    return n, vectors, strong
 
 
 def own_licences(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """(path, content, own_licence, score, line_no) of files whose best line reaches the threshold."""
-    idf, vectors, strong = _weights(files)
-    units = _units(files).filter(F.exists("terms", lambda t: t.isin(sorted(strong))))
-    key = ["path", "content", "line_no"]
-    tf = units.select(*key, F.explode("terms").alias("term")).groupBy(*key, "term").count()
-    rated = spark.createDataFrame([(t, w) for t, w in idf.items()], "term string, idf double")
+    """(path, content, own_licence, score, line_no, n_lines) of files whose best window reaches the threshold."""
+    folder = fresh_folder(spark, "licences")
+    _line_counts(files).write.parquet(f"{folder}/counts")
+    counts = spark.read.parquet(f"{folder}/counts")
+    n, vectors, strong = _weights(counts)
+    _window_terms(files, strong).write.parquet(f"{folder}/terms")
+    terms = spark.read.parquet(f"{folder}/terms")
+    key = ["path", "content", "line_no", "n_lines"]
+    weight = (1 + F.log("tf")) * F.log((F.lit(n) + 1) / (F.col("lines") + 1))
+    weighed = meet(terms, counts, "term", "path").select(*key, "term", weight.alias("weight"))
+    # A row per template term: a fixed size.
     vectors = spark.createDataFrame(vectors, "licence string, template int, term string, unit double")
-    # Both tables have a row per template term: a fixed size.
-    weighed = tf.join(F.broadcast(rated), "term").withColumn("weight", (1 + F.log("count")) * F.col("idf"))
     norms = weighed.groupBy(*key).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
     dots = weighed.join(F.broadcast(vectors), "term").groupBy(*key, "licence", "template").agg(F.sum(F.col("weight") * F.col("unit")).alias("dot"))
     scored = dots.join(norms, key).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).filter(F.col("score") >= THRESHOLD)
-    best = F.max(F.struct("score", (-F.col("line_no")).alias("early"), "licence"))
-    ranked = scored.groupBy(*key, "score").agg(F.min("licence").alias("licence"))
-    return ranked.groupBy("path", "content").agg(best.alias("best")).select("path", "content", F.col("best.licence").alias("own_licence"), F.col("best.score").alias("score"), (-F.col("best.early")).alias("line_no"))
+    best = F.min(F.struct((-F.col("score")).alias("lost"), "n_lines", "line_no", F.col("licence").alias("own_licence"))).alias("best")
+    own = scored.groupBy("path", "content").agg(best).select("path", "content", "best.own_licence", (-F.col("best.lost")).alias("score"), "best.line_no", "best.n_lines")
+    own.write.parquet(f"{folder}/own")
+    discard(spark, f"{folder}/counts")
+    discard(spark, f"{folder}/terms")
+    return spark.read.parquet(f"{folder}/own")
 
 
 def directory(path: Column) -> Column:
@@ -140,7 +178,7 @@ def inherited(dirs: DataFrame, licences: DataFrame) -> DataFrame:
 
 
 def scan_licences(spark: SparkSession, files: DataFrame, by_header: bool = False) -> DataFrame:
-    """One row per input row (path, text): path, own_licence, score, line_no, licence, inherited_from, and the columns carried in ``id``."""
+    """One row per input row (path, text): path, own_licence, score, line_no, n_lines, licence, inherited_from, and the columns carried in ``id``."""
     rows = files.select("id", F.coalesce(F.col("path").cast("string"), F.lit("")).alias("path"), text_or_empty().alias("text"))
     own = own_licences(spark, rows)
     listed = rows.select("id", "path", F.xxhash64("text").alias("content"), directory(F.col("path")).alias("dir"))
@@ -151,4 +189,4 @@ def scan_licences(spark: SparkSession, files: DataFrame, by_header: bool = False
     mine = mine.withColumn("salt", F.pmod(F.xxhash64("path", "content"), F.lit(SALTS)).cast("int"))
     joined = mine.join(salted, ["dir", "salt"], "left")
     without = F.col("own_licence").isNull()
-    return joined.select("id", "path", "own_licence", "score", "line_no", F.coalesce("own_licence", "dir_licence").alias("licence"), F.when(without, F.col("from_dir")).alias("inherited_from"))
+    return joined.select("id", "path", "own_licence", "score", "line_no", "n_lines", F.coalesce("own_licence", "dir_licence").alias("licence"), F.when(without, F.col("from_dir")).alias("inherited_from"))
