@@ -79,9 +79,15 @@ def _line_counts(files: DataFrame) -> DataFrame:
     return lines.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("lines"))
 
 
+def one_of(words: set[str]) -> str:
+    """A pattern of the words that reads what several begin with once, not once a word."""
+    heads = sorted({w[:1] for w in words}, reverse=True)
+    return f"(?:{'|'.join(h + one_of({w[1:] for w in words if w[:1] == h}) if h else '' for h in heads)})"
+
+
 def _holds(text: Column, strong: set[str]) -> Column:
     """Whether one of the terms is in the text."""
-    return F.lower(text).rlike(f"(^|[^a-z0-9])({'|'.join(sorted(strong))})([^a-z0-9]|$)") if strong else F.lit(False)
+    return F.lower(text).rlike(f"(^|[^a-z0-9]){one_of(strong)}([^a-z0-9]|$)") if strong else F.lit(False)
 
 
 def _window_terms(files: DataFrame, strong: set[str]) -> DataFrame:
