@@ -2,8 +2,9 @@
 
 Tasks write WARC files of independently compressed records, together with locally sorted runs of captures
 (URL key, timestamp, page, place of the record). Runs are merged k at a time by a loser tree; the last merge
-is cut into ranges of (URL key, timestamp, page), one per task, so that histories come out in global order and
-a URL captured very often spreads over ranges. Each history row is then read from its archive record.
+is cut into ranges of (URL key, timestamp, page, place of the record), one per task, so that histories come out in
+global order and a URL, or a page, captured very often spreads over ranges. A task reads the parts of the runs' indexes
+that its range needs. Each history row is then read from its archive record.
 
 Which record repeats which payload is settled before writing: the smallest page of each digest, aggregated
 before any shuffle and met again under salted keys.
@@ -20,8 +21,11 @@ import hashlib
 import json
 import struct
 import zlib
+from bisect import bisect_left
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
+from itertools import islice
+from operator import itemgetter
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -90,22 +94,38 @@ def _fields(head: bytes) -> dict[str, str]:
 
 #: key, date, page (-1 for none), file number, offset, length
 Capture = tuple[str, str, int, int, int, int]
+#: What tells captures apart: all but the length.
+KEY = 5
 BLOCK = 512
-_TAIL = struct.Struct("<QQ")
+#: Blocks whose first captures are one part of a run's index; a reader holds the first capture of every part, and one part.
+PART = 512
+_TAIL = struct.Struct("<QQQ")
 
 
 def write_run(address: str, captures: Iterator[Capture]) -> int:
-    """Sorted captures in blocks of JSON lines, then each block's first capture and place."""
-    index, held, at, n = [], [], 0, 0
+    """Sorted captures in blocks, with parts of the index between them (each block's first capture and place), then the parts' own index."""
+    top, part, held, at, n, blocks = [], [], [], 0, 0, 0
     with replacing(address) as stream:
 
-        def flush() -> None:
-            nonlocal at, held
-            data = zlib.compress(json.dumps(held).encode(), 1)
+        def put(rows: list) -> tuple[int, int]:
+            nonlocal at
+            data = zlib.compress(json.dumps(rows).encode(), 1)
             stream.write(data)
-            index.append([held[0][:3], at, len(data)])
             at += len(data)
+            return at - len(data), len(data)
+
+        def close_part() -> None:
+            nonlocal part
+            top.append([part[0][0], *put(part)])
+            part = []
+
+        def flush() -> None:
+            nonlocal held, blocks
+            part.append([held[0][:KEY], *put(held)])
             held = []
+            blocks += 1
+            if len(part) == PART:
+                close_part()
 
         for c in captures:
             held.append(c)
@@ -114,38 +134,50 @@ def write_run(address: str, captures: Iterator[Capture]) -> int:
                 flush()
         if held:
             flush()
-        foot = zlib.compress(json.dumps(index).encode(), 1)
-        stream.write(foot + _TAIL.pack(len(foot), n))
+        if part:
+            close_part()
+        stream.write(_TAIL.pack(put(top)[1], blocks, n))
     return n
 
 
 class Run:
-    """One sorted run, read a block at a time from the first capture not below ``low``."""
+    """One sorted run, read a block at a time from the first capture not below ``low``; of its index only the parts that a range needs."""
 
     def __init__(self, address: str) -> None:
         self.file = open_random(address)
-        size = self.file.size()
-        self.file.seek(size - _TAIL.size)
-        foot, self.rows = _TAIL.unpack(self.file.read(_TAIL.size))
-        self.file.seek(size - _TAIL.size - foot)
-        self.index = [(tuple(first), at, n) for first, at, n in json.loads(zlib.decompress(self.file.read(foot)))]
+        end = self.file.size() - _TAIL.size
+        self.file.seek(end)
+        foot, self.blocks, self.rows = _TAIL.unpack(self.file.read(_TAIL.size))
+        self.top = self._entries(end - foot, foot)
+
+    def _read(self, at: int, n: int) -> list:
+        self.file.seek(at)
+        return json.loads(zlib.decompress(self.file.read(n)))
 
-    def firsts(self, most: int) -> list[tuple]:
-        step = max(1, len(self.index) // most)
-        return [x[0] for x in self.index[::step]]
+    def _entries(self, at: int, n: int) -> list[tuple[tuple, int, int]]:
+        return [(tuple(first), *place) for first, *place in self._read(at, n)]
+
+    def firsts(self, step: int) -> Iterator[tuple]:
+        """The first capture of every so many blocks."""
+        places = (x[0] for _, at, n in self.top for x in self._entries(at, n))
+        return islice(places, 0, None, step)
 
     def captures(self, low: tuple | None = None, high: tuple | None = None) -> Iterator[Capture]:
-        begin = 0 if low is None else max(0, sum(x[0] <= low for x in self.index) - 1)
-        for first, at, n in self.index[begin:]:
-            if high is not None and first >= high:
-                return
-            self.file.seek(at)
-            for c in json.loads(zlib.decompress(self.file.read(n))):
-                key = tuple(c[:3])
-                if high is not None and key >= high:
-                    return
-                if low is None or key >= low:
-                    yield tuple(c)
+        for part in _reaching(self.top, low, high):
+            for _, at, n in _reaching(self._entries(*part[1:]), low, high):
+                for c in self._read(at, n):
+                    key = tuple(c[:KEY])
+                    if high is not None and key >= high:
+                        return
+                    if low is None or key >= low:
+                        yield tuple(c)
+
+
+def _reaching(entries: list[tuple[tuple, int, int]], low: tuple | None, high: tuple | None) -> list[tuple[tuple, int, int]]:
+    """The entries that may hold captures from ``low`` up to ``high``; the first of them may be inside the entry before."""
+    begin = 0 if low is None else max(0, bisect_left(entries, low, key=itemgetter(0)) - 1)
+    end = len(entries) if high is None else bisect_left(entries, high, key=itemgetter(0))
+    return entries[begin:end]
 
 
 class LoserTree:
@@ -310,7 +342,9 @@ def archive_pages(spark: SparkSession, pages: DataFrame, folder: str | None = No
         level += 1
     names, total = sorted(r[0] for r in runs), sum(r[1] for r in runs)
     ranges = max(1, min(spread(rows, spark), total // 1000), -(-total // range_rows))
-    samples = sorted(x for r in names for x in Run(f"{folder}/runs/{r}").firsts(4 * ranges))
+    # One sample in so many blocks, the same in every run: about 8 a range, and one a run.
+    step = max(1, total // BLOCK // (8 * ranges))
+    samples = sorted(x for r in names for x in Run(f"{folder}/runs/{r}").firsts(step))
     cuts = sorted({samples[len(samples) * k // ranges] for k in range(1, ranges)}) if samples else []
     edges = [None, *(json.dumps(c) for c in cuts), None]
     tasks = spark.createDataFrame([(k, edges[k], edges[k + 1]) for k in range(len(edges) - 1)] if names else [], "number long, low string, high string")

@@ -4,7 +4,8 @@ import random
 
 import pytest
 
-from keystrata.llm.warc import LoserTree, archive_pages, decode_record, encode_record, url_key
+from keystrata.llm import warc
+from keystrata.llm.warc import LoserTree, Run, archive_pages, decode_record, encode_record, url_key, write_run
 
 PAGE = "<p>" + "content " * 40
 ROWS = [
@@ -43,6 +44,27 @@ def test_histories_are_in_global_order(spark, make_pages):
     assert keys == sorted(keys) and len(keys) == 3000
 
 
+def test_a_page_that_repeats_spreads_over_ranges(spark, make_pages):
+    rows = [(None if k % 2 else 7, "http://hot.example", PAGE) for k in range(9000)] + [(k, "http://a.example", "x") for k in range(100, 200)]
+    got = archive_pages(spark, make_pages(rows), range_rows=1000).select("place", "page_id").collect()
+    assert sorted(r.page_id or 0 for r in got) == sorted(r[0] or 0 for r in rows)
+    assert len({r.place >> 40 for r in got}) > 3 and len({r.place for r in got}) == len(rows)
+
+
+@pytest.mark.parametrize("part", [1, 2, 512])
+def test_runs_are_read_by_range(tmp_path, monkeypatch, part):
+    monkeypatch.setattr(warc, "PART", part)
+    monkeypatch.setattr(warc, "BLOCK", 3)
+    captures = sorted((f"k{n // 40}", "d", n // 10, 0, n, 1) for n in range(100))
+    address = f"file://{tmp_path}/run"
+    assert write_run(address, iter(captures)) == 100
+    run = Run(address)
+    assert list(run.captures()) == captures and len(list(run.firsts(1))) == run.blocks == 34
+    cuts = [None, *(c[:5] for c in captures[::7]), ("k9",), None]
+    for a, b in zip(cuts, cuts[1:]):
+        assert list(run.captures(a, b)) == [c for c in captures if (a is None or c[:5] >= a) and (b is None or c[:5] < b)]
+
+
 def test_empty_table(spark, make_pages):
     assert archive_pages(spark, make_pages([])).collect() == []
 
